@@ -31,7 +31,8 @@ def bare(c: Column) -> Column:
 def record_key(name1: Column, name2: Column) -> Column:
     """128-bit key of the record, equal for both orders of the names; null if a name is null."""
     a, b = bare(name1), bare(name2)
-    return F.unhex(F.md5(F.concat(F.least(a, b), F.lit("\x00"), F.greatest(a, b))))
+    key = F.unhex(F.md5(F.concat(F.least(a, b), F.lit("\x00"), F.greatest(a, b))))
+    return F.when(a.isNotNull() & b.isNotNull(), key)  # least and greatest pass over nulls
 
 
 class CopyLedger:
