@@ -100,7 +100,8 @@ def aligned_gram_pairs(df: DataFrame, a: Column, b: Column, name: str) -> DataFr
     """df with `name`: the pairs of the best assignment of the (sorted) grams, and what is left of the longer side with nothing."""
     step = df.withColumn("_ga", F.array_sort(tk.gram_union(a))).withColumn("_gb", F.array_sort(tk.gram_union(b)))
     step = step.withColumn("_cost", assign.cost_matrix(F.col("_ga"), F.col("_gb"))).withColumn("_p", assign.assignment(F.col("_cost")))
-    step = scratch.write(step.drop("_cost"), "assigned").df  # no later step may run the assignment again
+    # the costs stay in the written table: used once only, they would be merged into the argument of the assignment
+    step = scratch.write(step, "assigned").df.drop("_cost")
     got = F.transform("_p", lambda p: F.concat(F.get("_ga", p["i"]), F.lit(SEPARATOR), F.get("_gb", p["j"])))
     rest = lambda g, side: F.filter(F.transform(g, lambda x, i: F.when(~F.exists("_p", lambda p: p[side] == i), x)), lambda x: x.isNotNull())
     left = F.when(F.size("_ga") > F.size("_gb"), F.transform(rest(F.col("_ga"), "i"), lambda x: F.concat(x, F.lit(SEPARATOR))))
