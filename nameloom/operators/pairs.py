@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nameloom.functions import similarity as sim
@@ -145,10 +146,10 @@ def confused_pairs(df: DataFrame, negatives: int = NEGATIVES, seed: int = 1, top
         first = F.get(F.array_intersect(tk.chars(F.col("name1")), tk.chars(F.col("_t"))), F.lit(0)) == F.col("_c")
         cand = mine.join(signs, "_c").where((F.col("_i") != F.col("_j")) & (F.col("_t") != F.col("name1")) & (F.col("_t") != F.col("name2")) & first)
         hits = cand.where(sim.levenshtein_similarity(F.col("name1"), F.col("_t")) > 0).select("_i", "ord", "name1", "_lack", "_j", "target_ord", "_t")
-        # the first of each row: lists are cut where they are made, so no row gathers more than the block
-        firsts = hits.groupBy("_i", "ord", "name1", "_lack").agg(F.array_sort(F.collect_list(F.struct("_j", "target_ord", "_t"))).alias("_l"))
-        taken = scratch.write(firsts.select("_i", "ord", "name1", F.explode(F.slice("_l", F.lit(1), F.col("_lack"))).alias("x")).select("_i", "ord", "name1", "x._j", "x.target_ord", F.col("x._t").alias("name2")), "taken").df
-        found = taken if found is None else found.unionByName(taken)
+        # the first of each row; the group limit of the window keeps as many of each task before the shuffle
+        place = F.row_number().over(W.partitionBy("_i").orderBy("_j"))
+        firsts = hits.withColumn("_k", place).where(F.col("_k") <= negatives).where("_k <= _lack")
+        taken = scratch.write(firsts.select("_i", "ord", "name1", "_j", "target_ord", F.col("_t").alias("name2")), "taken").df
         got = taken.groupBy("_i").agg(F.count(F.lit(1)).cast("int").alias("_got"))
         left = open_rows.df.join(got, "_i", "left").withColumn("_lack", F.col("_lack") - F.coalesce("_got", F.lit(0))).where("_lack > 0").drop("_got")
         nxt = scratch.write(left, "open")

@@ -8,10 +8,12 @@ real size) and is deleted once the next state stands.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,15 +39,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/nameloom/{spark.sparkContext.applicationId}/{next(_number):04d}-{label}-{uuid.uuid4().hex[:8]}"
 
 
+_scopes: list[list[Table]] = []
+
+
 class Table:
-    """A written table: `df` reads it, `drop()` deletes its files."""
+    """A written table: `df` reads it, `drop()` deletes its files, `keep()` leaves it to the scope around the current one."""
 
     def __init__(self, spark: SparkSession, path: str, schema) -> None:
         self.spark, self.path = spark, path
         self.df = spark.read.schema(schema).parquet(path)
+        self.dropped = False
 
     def drop(self) -> None:
-        delete(self.spark, self.path)
+        if not self.dropped:
+            delete(self.spark, self.path)
+        self.dropped = True
+
+    def keep(self) -> Table:
+        for s in _scopes[-1:]:
+            s[:] = [t for t in s if t is not self]
+        for s in _scopes[-2:-1]:
+            s.append(self)
+        return self
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """On leaving, deletes the tables written inside that were not kept; no frame that reads them may be used after."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for t in _scopes.pop():
+            t.drop()
 
 
 def write(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Table:
@@ -56,7 +82,10 @@ def write(df: DataFrame, label: str, partition_by: list[str] | None = None) -> T
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return Table(spark, path, df.schema)
+    table = Table(spark, path, df.schema)
+    for s in _scopes[-1:]:
+        s.append(table)
+    return table
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -22,7 +22,7 @@ def hot_keys(df: DataFrame, key: str, total: int, share: float = HOT_SHARE, floo
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, total: int, spread: Column, how: str = "inner", salts: int = SALTS, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """left join right on `key`, where `right` has one row a key and `left` may hold any share of its rows in one key.
+    """left join right on `key`, where `left` may hold any share of its rows in one key and `right` has one row, or few, a key.
 
     Rows of a hot key go to `salts` parts by `spread` (a hash of something that
     differs within the key); right's row of that key is copied as often. The list
