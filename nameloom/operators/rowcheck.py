@@ -17,8 +17,8 @@ _PLAIN = r'(?!")[^\t]*+'
 _FIELD = f"(?:{_QUOTED}|{_PLAIN})"
 #: A line whose quoted fields all close right before a tab or the end.
 WELL_QUOTED = rf"(?s)\A{_FIELD}(?:\t{_FIELD})*+\z"
-#: One field with the tab before it.
-_CELL = rf"(?s)(?:\A|\t)({_FIELD})"
+#: One field with the tab before it; the line gets one in front, so that no match is empty.
+_CELL = rf"(?s)\t({_FIELD})"
 #: Anything but a space of any kind.
 _BLANK = r"(?s)\A[\p{IsWhite_Space}\x1c-\x1f]*+\z"
 _SPACES = r"\A[\p{IsWhite_Space}\x1c-\x1f]++|[\p{IsWhite_Space}\x1c-\x1f]++\z"
@@ -45,7 +45,7 @@ def _fails(rule: Column, value: Column) -> Column:
 
 def parse_cells(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds `_cells`: the fields of a well quoted line without their quotes, null for any other line (a null line too)."""
-    raw = F.regexp_extract_all(F.col(line), F.lit(_CELL), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), F.col(line)), F.lit(_CELL), F.lit(1))
     unquoted = F.transform(raw, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     return df.withColumn("_cells", F.when(F.col(line).rlike(WELL_QUOTED), unquoted))
 
