@@ -87,8 +87,9 @@ def name_groups(pairs: DataFrame) -> DataFrame:
     ids = named.df.withColumnRenamed("name", "n1")
     edges = salted_join(links, ids, "n1", m, F.col("n2")).select("n2", F.col("id").alias("a"))
     edges = salted_join(edges, ids.withColumnRenamed("n1", "n2"), "n2", m, F.col("a")).select("a", F.col("id").alias("b"))
-    roots = named.df.join(component_ids(edges), "id")
-    table = scratch.write(roots.select("name", "root"), "roots")
+    with scratch.scope():
+        roots = named.df.join(component_ids(edges), "id")
+        table = scratch.write(roots.select("name", "root"), "roots").keep()
     smallest = table.df.groupBy("root").agg(F.min("name").alias("group_name"))
     link_table.drop()
     named.drop()

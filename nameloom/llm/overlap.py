@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from nameloom.llm.visual import skeleton
 from nameloom.operators import scratch
+from nameloom.operators.skew import salted_join
 
 #: Edits allowed over both names together.
 EDITS = 2
@@ -50,7 +51,7 @@ def plain(c: Column, variants: DataFrame) -> Column:
         raise ValueError("more variant characters than a translation table should hold")
     table = dict(sorted((r.traditional, r.simplified) for r in rows))
     seen = F.pandas_udf(_skeletons, T.StringType())(c)
-    bare = F.lower(F.upper(F.regexp_replace(seen, _DROPPED, "")))
+    bare = F.lower(F.regexp_replace(F.upper(seen), _DROPPED, ""))
     return F.translate(bare, "".join(table), "".join(table.values())) if table else bare
 
 
@@ -112,8 +113,10 @@ def near_classes(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, Da
     straight = F.levenshtein("a", "c", EDITS), F.levenshtein("b", "d", EDITS)
     crossed = F.levenshtein("a", "d", EDITS), F.levenshtein("b", "c", EDITS)
     close = [(x >= 0) & (y >= 0) & (x + y <= EDITS) for x, y in (straight, crossed)]
-    links = scratch.write(cand.where(close[0] | close[1]).select("tid", "eid"), "links").df
-    return t.df, e.df, links
+    links = scratch.write(cand.where(close[0] | close[1]).select("tid", "eid"), "links")
+    for kept in (t, e, links):
+        kept.keep()
+    return t.df, e.df, links.df
 
 
 def _grams(texts: DataFrame, *keep: str) -> DataFrame:
@@ -138,10 +141,16 @@ def cross_split(df: DataFrame, variants: DataFrame) -> DataFrame:
     rows = df.select("ord", "name1", "name2", "split").where("name1 <> '' and name2 <> '' and ord is not null and split in ('train', 'dev', 'test')")
     base = scratch.write(rows.select("ord", "split", plain(F.col("name1"), variants).alias("a"), plain(F.col("name2"), variants).alias("b")), "plain").df
     train, evaluation = base.where("split = 'train'"), base.where("split <> 'train'")
-    t, e, links = near_classes(train, evaluation)
-    trows = train.join(t.select("a", "b", F.col("id").alias("tid")), ["a", "b"]).select("tid", F.col("ord").alias("train_ord"))
-    erows = evaluation.join(e.select("a", "b", F.col("id").alias("eid")), ["a", "b"]).select("eid", F.col("ord").alias("eval_ord"))
-    return links.join(trows, "tid").join(erows, "eid").select("train_ord", "eval_ord")
+    with scratch.scope():
+        t, e, links = near_classes(train, evaluation)
+    # a record may stand in any number of rows: both sides are split where it is hot
+    total = base.count()
+    key = F.md5(F.concat_ws(SEP, "a", "b"))
+    hit_t, hit_e = t.join(links.select(F.col("tid").alias("id")).distinct(), "id", "left_semi"), e.join(links.select(F.col("eid").alias("id")).distinct(), "id", "left_semi")
+    trows = salted_join(train.select(key.alias("key"), F.col("ord").alias("train_ord")), hit_t.select(key.alias("key"), F.col("id").alias("tid")), "key", total, F.col("train_ord")).select("tid", "train_ord")
+    erows = salted_join(evaluation.select(key.alias("key"), F.col("ord").alias("eval_ord")), hit_e.select(key.alias("key"), F.col("id").alias("eid")), "key", total, F.col("eval_ord")).select("eid", "eval_ord")
+    linked = salted_join(trows, links, "tid", total, F.col("train_ord")).select("eid", "train_ord")
+    return salted_join(linked, erows, "eid", total, F.col("train_ord")).select("train_ord", "eval_ord")
 
 
 def overlap_pairs(df: DataFrame, variants: DataFrame) -> DataFrame:

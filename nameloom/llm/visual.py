@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nameloom.operators import scratch
+from nameloom.operators.skew import salted_join
 
 # Middle dots of other blocks drawn like U+00B7.
 DOTS = "\u2027\u2219\u22c5\u30fb\uff65\u16eb\u2e31\ua78f\u2e33\U00010101"
@@ -180,7 +181,8 @@ def same_looking(df: DataFrame) -> DataFrame:
     formed = repair(rows, ["name1", "name2"], "ord")
     keyed = formed.select("ord", F.md5(F.concat_ws("\x00", "name1_form", "name2_form")).alias("form"), F.md5(F.concat_ws("\x00", "name1", "name2")).alias("spelling"))
     several = keyed.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
-    live = scratch.write(keyed.join(several, "form", "left_semi"), "forms").df
+    total = rows.count()
+    live = scratch.write(salted_join(keyed, several, "form", total, F.col("ord"), "left_semi"), "forms").df
     a = live.select(F.col("ord").alias("ord_a"), "form", F.col("spelling").alias("sa"))
     b = live.select(F.col("ord").alias("ord_b"), "form", F.col("spelling").alias("sb"))
-    return a.join(b, "form").where("ord_a < ord_b and sa <> sb").select("ord_a", "ord_b")
+    return salted_join(a, b, "form", total, F.col("ord_a")).where("ord_a < ord_b and sa <> sb").select("ord_a", "ord_b")
