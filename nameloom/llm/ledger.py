@@ -72,6 +72,12 @@ class CopyLedger:
             self.spark.createDataFrame(manifest, "version int, bucket int, at int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         new.drop()
 
+    def vacuum(self) -> None:
+        """Deletes versions that no bucket refers to any more."""
+        for v in range(1, self.version + 1):
+            if v not in self.current.values():
+                scratch.delete(self.spark, f"{self.path}/v{v}")
+
 
 def build_ledger(df: DataFrame, batches: int = 3, buckets: int = 32, path: str | None = None) -> CopyLedger:
     """A ledger of df (ord, name1, name2), fed in `batches` ranges of ord as they would arrive."""
@@ -83,6 +89,7 @@ def build_ledger(df: DataFrame, batches: int = 3, buckets: int = 32, path: str |
     cuts = [low + (high - low + 1) * i // batches for i in range(batches + 1)]
     for a, b in zip(cuts, cuts[1:]):
         ledger.update(df.where((F.col("ord") >= a) & (F.col("ord") < b)))
+    ledger.vacuum()
     return ledger
 
 
