@@ -124,11 +124,17 @@ def _grams(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def _prefix(grams: DataFrame, frequency: DataFrame, *owner: str) -> DataFrame:
-    """(*owner, q, gram, pos): the EDITS*q+1 rarest shingles of each owner; one that no training record holds comes first and is then dropped, as it finds nothing."""
-    ranked = grams.join(frequency, ["q", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """(*owner, q, gram, pos): the EDITS*q+1 rarest shingles of each owner that training holds.
+
+    Shingles that no training record holds are the rarest of all and find nothing:
+    they never leave the join, and their number, which follows from the length,
+    takes as many places of the prefix.
+    """
+    ranked = grams.join(frequency, ["q", "gram"])
     lists = ranked.groupBy(*owner, "q").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "pos"))).alias("all"))
-    rare = lists.select(*owner, "q", F.explode(F.slice("all", F.lit(1), F.col("q") * EDITS + 1)).alias("g"))
-    return rare.where("g.n > 0").select(*owner, "q", "g.gram", "g.pos")
+    absent = F.col("len") + F.col("q") - 1 - F.size("all")
+    rare = F.slice("all", F.lit(1), F.greatest(F.col("q") * EDITS + 1 - absent, F.lit(0)))
+    return lists.select(*owner, "q", F.explode(rare).alias("g")).select(*owner, "q", "g.gram", "g.pos")
 
 
 def cross_split(df: DataFrame, variants: DataFrame) -> DataFrame:
