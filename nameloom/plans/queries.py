@@ -15,6 +15,9 @@ from nameloom.plans import sql
 from nameloom.sources import files
 from nameloom.streaming import scorer
 
+#: Most surnames that become a literal.
+SURNAME_LIMIT = 10_000
+
 _registered: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -48,7 +51,10 @@ class Tables:
 
     def surname_list(self) -> list[str]:
         """The surnames; a fixed list, sent along in expressions."""
-        return sorted(r[0] for r in self.surnames.where("surname <> ''").distinct().limit(10_000).collect())
+        rows = self.surnames.where("surname <> ''").distinct().limit(SURNAME_LIMIT + 1).collect()
+        if len(rows) > SURNAME_LIMIT:
+            raise ValueError(f"more than {SURNAME_LIMIT} surnames do not belong into an expression")
+        return sorted(r[0] for r in rows)
 
 
 def _text(ids) -> F.Column:
