@@ -4,9 +4,11 @@ Each field of a row is cut into tokens, and a full field (one that names its
 entity with all parts) gets a signature: the bag of its content syllables, so
 script form, homophones, order and format do not matter. Signatures meet in a
 symmetric-delete neighbourhood: a bag and all bags with one syllable deleted. Two
-bags that share a member are at most one syllable apart, by construction. Those that also
-share a character are linked to the first of them, never to all others, and a link
-stands if nearly all characters are the same.
+bags that share a member are at most one syllable apart, by construction, and are of one
+entity if nearly all characters are the same too. All that meet are compared with the
+first of them, never with all others. Where one of them is unlike the first, all of them
+meet again by their characters, with as many left out as may differ: those that share
+such a part are alike by construction, so linking them to the first loses none.
 
 One name is not enough: the two fields of a row have to speak of one entity. Their
 tokens are aligned by optimal assignment that permits equal sounds, small edit
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nameloom.functions.tokens import let
 from nameloom.llm.components import component_ids
 from nameloom.operators import scratch
 from nameloom.operators.skew import salted_join
@@ -204,6 +207,28 @@ def _neighbourhood(c):
     return F.array_distinct(F.concat(F.array(F.array_join(c, " ")), less))
 
 
+def _kinds(han):
+    """Different characters of a sorted text, in order."""
+    return F.array_distinct(F.split(han, ""))
+
+
+def _subsets(c, fewer: int):
+    """Hashes of a set and of every subset with up to `fewer` members less; the empty one is left out.
+
+    Two sets share one of these if and only if each has at most `fewer` members that the
+    other lacks, and one in common. A set's hash is the exclusive or of its members', so
+    leaving a member out takes no look at the others.
+    """
+
+    def of(h):
+        every = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+        for _ in range(fewer):
+            every = let(every, lambda e: F.array_distinct(F.concat(e, F.flatten(F.transform(e, lambda s: F.transform(h, lambda x: s.bitwiseXOR(x)))))))
+        return F.filter(every, lambda s: s != 0)
+
+    return let(F.transform(c, lambda x: F.xxhash64(x)), of)
+
+
 def link_rows(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
     """(ord, entity): the entity number of every row that has one; rows of one entity share it.
 
@@ -219,18 +244,26 @@ def link_rows(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFr
     text = lambda s, n: F.coalesce(F.array_join(s, " "), F.lower(F.regexp_replace(n, r"[\p{P}\p{IsWhite_Space}]+", "")))
     pair = both.select("ord", F.md5(F.concat_ws("\x00", text("s1", "name1"), text("s2", "name2"))).alias("key"))
     known = scratch.write(bags.select("bag", "han").distinct().withColumn("id", F.monotonically_increasing_id()), "bags").df
-    # members of a neighbourhood meet under each character they hold, so that the one all are linked to is of their kind
-    signs = F.flatten(F.transform(_neighbourhood(F.col("bag")), lambda k: F.transform(F.array_distinct(F.split("han", "")), lambda c: F.xxhash64(k, c))))
-    near = known.select("id", F.explode(signs).alias("key"))
-    centres = near.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
-    total = known.count() * 60
-    linked = salted_join(near, centres, "key", total, F.col("id")).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    chars = known.select("id", F.array_distinct(F.split("han", "")).alias("c"))
-    linked = linked.join(chars.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a")
-    linked = salted_join(linked, chars.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", total, F.col("a"))
+    near = known.select("id", "han", F.explode(F.transform(_neighbourhood(F.col("bag")), lambda k: F.xxhash64(k))).alias("key"))
+    near = scratch.write(near, "neighbourhoods").df
+    total = near.count()
+    several = near.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
+    centres = several.join(known.select(F.col("id").alias("b"), F.col("han").alias("hb")), "b")
     # equal sounds alone are chance in a large table: all but OTHER characters have to be the same
-    same = F.size(F.array_intersect("ca", "cb")) >= F.greatest(F.size("ca"), F.size("cb")) - OTHER
-    linked = linked.where(same).select("a", "b")
+    ca, cb = _kinds(F.col("han")), _kinds(F.col("hb"))
+    shared = F.size(F.array_intersect(ca, cb))
+    same = (shared > 0) & (shared >= F.greatest(F.size(ca), F.size(cb)) - OTHER)
+    tried = salted_join(near, centres, "key", total, F.col("id")).where("id <> b").select("key", F.col("id").alias("a"), "b", same.alias("same"))
+    tried = scratch.write(tried, "tried").df
+    linked = tried.where("same").select("a", "b")
+    # one member that is not like the first leaves open who is like whom: all members of such a key meet by their characters
+    open_keys = tried.where("not same").select("key").distinct()
+    rest = salted_join(near, open_keys, "key", total, F.col("id"), "left_semi")
+    part = rest.select("id", F.explode(_subsets(_kinds(F.col("han")), OTHER)).alias("part"), "key")
+    part = scratch.write(part.select("id", F.struct("key", "part").alias("key")), "parts").df
+    first = part.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
+    alike = salted_join(part, first, "key", part.count(), F.col("id")).where("id <> b").select(F.col("id").alias("a"), "b")
+    linked = linked.union(alike).distinct()
     # rows hang on their bags; a row with two bags joins them
     row_bags = salted_join(bags.select("ord", "han"), known.select("han", "id"), "han", total, F.col("ord")).select("ord", "id")
     row_bags = scratch.write(row_bags, "row-bags").df

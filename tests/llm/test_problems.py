@@ -174,6 +174,30 @@ def test_variants_same_row_twice(spark):
     assert variants.variant_pairs(df.limit(0), *variant_tables(spark)).count() == 0
 
 
+def test_variants_of_one_sound(spark):
+    # many names of one sound under the same keys: links are those of comparing every two
+    r = random.Random(3)
+    chars = [[chr(0x4E00 + 40 * i + k) for k in range(20)] for i in range(6)]
+    names = ["".join(r.choice(c) for c in chars) for _ in range(60)]
+    for n in names[:30]:
+        i = r.randrange(6)
+        names.append(n[:i] + r.choice([c for c in chars[i] if c != n[i]]) + n[i + 1 :])
+    names += [names[0][1:], "甲" + names[1][:5], names[2][:3] + "".join(r.choice(c) for c in chars[3:])]
+    readings = [(c, f"s{'abcdef'[i]}1") for i, cs in enumerate(chars) for c in cs]
+    group = {i: i for i in range(len(names))}
+    for a, b in combinations(range(len(names)), 2):
+        x, y = ([f"s{'abcdef'[(ord(c) - 0x4E00) // 40]}" if c != "甲" else c for c in names[i]] for i in (a, b))
+        near = max(len(x), len(y)) - sum((Counter(x) & Counter(y)).values()) <= 1
+        shared = set(names[a]) & set(names[b])
+        if near and shared and len(shared) >= max(len(set(names[a])), len(set(names[b]))) - variants.OTHER:
+            old, new = group[b], group[a]
+            group = {k: new if v == old else v for k, v in group.items()}
+    df = spark.createDataFrame([(i, n + "，", n) for i, n in enumerate(names)], "ord bigint, name1 string, name2 string")
+    tables = spark.createDataFrame(readings, "ch string, mandarin string"), spark.createDataFrame([], "simplified string, traditional string")
+    got = {tuple(x) for x in variants.variant_pairs(df, *tables).collect()}
+    assert got == {(a, b) for a, b in combinations(range(len(names)), 2) if group[a] == group[b]}
+
+
 def test_reader():
     reader = variants.Reader({"張": "张"}, {c: s[:-1] for c, s in READINGS})
     assert reader.spell("zhangweiming") == ["zhang", "wei", "ming"] and reader.spell("kora") == ["kora"]
