@@ -35,8 +35,8 @@ _CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӀѴѵԌ
 _CYRILLIC_AS = "ABCEHIJKMOPSTXYaceijopsxyhdqwIVvGYy"
 #: Letter of another script -> Latin letter drawn alike.
 LOOK_ALIKES = dict(zip(_GREEK, _GREEK_AS)) | dict(zip(_CYRILLIC, _CYRILLIC_AS))
-#: The way back, by script.
-FROM_LATIN = {"GREEK": dict(zip(_GREEK_AS, _GREEK)), "CYRILLIC": dict(zip(_CYRILLIC_AS, _CYRILLIC))}
+#: The way back, by script; of several letters the first, which is the common one.
+FROM_LATIN = {"GREEK": dict(zip(_GREEK_AS, _GREEK)), "CYRILLIC": dict(zip(reversed(_CYRILLIC_AS), reversed(_CYRILLIC)))}
 _SHARED = set(_GREEK_AS) | set(_CYRILLIC_AS)
 
 
@@ -84,8 +84,8 @@ def compose(s: str) -> str:
 
 
 def to_latin(s: str) -> str:
-    """Every look-alike as its Latin letter."""
-    return "".join(map(lambda ch: LOOK_ALIKES.get(ch, ch), s))
+    """Every look-alike as its Latin letter, accented ones too; accents stand behind their letters."""
+    return "".join(map(lambda ch: LOOK_ALIKES.get(ch, ch), unicodedata.normalize("NFD", s)))
 
 
 def skeleton(s: str) -> str:
@@ -100,7 +100,8 @@ def candidates(token: str) -> list[str]:
     alike, then with most letters at all, Latin before Greek before Cyrillic. A
     token of look-alikes only gets a candidate for each script it can be written in.
     """
-    kinds = [(ch, script(ch)) for ch in token]
+    # letters without their accents: one composed with an accent is in no table of look-alikes
+    kinds = [(ch, script(ch)) for ch in unicodedata.normalize("NFD", token)]
     present = {k for _, k in kinds if k in ("LATIN", "GREEK", "CYRILLIC")}
     if not present - {"LATIN"}:
         return []

@@ -221,6 +221,16 @@ def test_same_looking(spark):
     assert visual.same_looking(df.limit(0)).count() == 0
 
 
+def test_same_looking_with_accents(spark):
+    words = ["Ε\u0301lan", "Élan", "О\u0308rn", "Örn", "Α\u0301gua", "Água", "Ι\u0301sis", "Ísis", "cο\u0301rp", "córp", "sо\u0308n", "sön", "Ïжак", "Їжак", "й", "ΑΕ\u0301", "AÉ"]
+    df = spark.createDataFrame([(i, w, "x") for i, w in enumerate(words)], "ord bigint, name1 string, name2 string")
+    got = {tuple(x) for x in visual.same_looking(df).collect()}
+    assert got == {(0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (12, 13), (15, 16)}
+    forms = {r.ord: r.name1_form for r in visual.repair(df, ["name1"], "ord").collect()}
+    assert [forms[i] for i in (0, 2, 12, 13, 14)] == ["Élan", "Örn", "Їжак", "Їжак", "й"]
+    assert visual.skeleton("Ε\u0301") == visual.skeleton("É") == "É" and visual.skeleton("О\u0308") == "Ö" and visual.skeleton("й") == "й"
+
+
 def test_forms_keep_what_is_right(spark):
     df = spark.createDataFrame([(1, "Сова Kot"), (2, "Kоt"), (3, "Pаul"), (4, None), (5, "")], "id bigint, t string")
     got = {r.id: r.t_form for r in visual.repair(df, ["t"], "id").collect()}
