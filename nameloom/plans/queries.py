@@ -62,6 +62,11 @@ def _text(ids) -> F.Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows over more tasks than cores: few bytes of names are long work where a row's matrix has hundreds of cells. Given as a number, as parts are merged by size otherwise."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "ord")
+
+
 # Sources.
 
 
@@ -207,7 +212,7 @@ def aligned_feature_dict(t: Tables) -> DataFrame:
 
 @query
 def align_cost(t: Tables) -> DataFrame:
-    p = t.named_pairs().where("label").withColumn("a", tk.gram_set(tk.chars(F.col("name1")), 1)).withColumn("b", tk.gram_set(tk.chars(F.col("name2")), 1))
+    p = _spread(t.named_pairs()).withColumn("a", tk.gram_union(tk.chars(F.col("name1")))).withColumn("b", tk.gram_union(tk.chars(F.col("name2"))))
     p = p.withColumn("cost", assign.cost_matrix(F.col("a"), F.col("b"))).withColumn("p", assign.assignment("cost"))
     return p.select("ord", F.round(assign.total_cost(F.col("cost"), F.col("p")), 6).alias("total"))
 

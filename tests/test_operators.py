@@ -1,6 +1,7 @@
 """Pair lists, evaluation, ordered operations, row checks, skew-safe joins, sources and the classifier."""
 
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from nameloom import api
 from nameloom.functions.phonetics import Lexicon
 from nameloom.operators import evaluate, features, model, ordered, pairs, rowcheck, scratch, skew
+from nameloom.plans import queries
 from nameloom.sources import files
 
 SCORED = "ord bigint, name1 string, label boolean, score double, prediction boolean"
@@ -230,6 +232,38 @@ def test_classifier(spark, tmp_path):
     assert cv.auc > 0.8
 
 
+def small_tables(spark, path):
+    rows = [(0, "张三", "张山", True, "train"), (1, "张三", "李四", False, "train"), (2, "张三", "张山", None, "train"), (3, "王五", "王五", True, "dev"), (4, "王五", "李四", False, "dev"), (5, "王三", "张三山", None, "test"), (6, None, "王", True, "dev"), (7, "", "王", True, "test")]
+    spark.createDataFrame(rows, "ord bigint, name1 string, name2 string, label boolean, split string").write.parquet(f"{path}/pairs.parquet")
+    said = [(c, s, None) for c, s in (("张", "zhang1"), ("三", "san1"), ("山", "shan1"), ("李", "li3"), ("四", "si4"), ("王", "wang2"), ("五", "wu3"))]
+    spark.createDataFrame(said, "ch string, mandarin string, cantonese string").write.parquet(f"{path}/readings.parquet")
+    spark.createDataFrame([("张", "張")], "simplified string, traditional string").write.parquet(f"{path}/variant_chars.parquet")
+    spark.createDataFrame([("张",)], "surname string").write.parquet(f"{path}/surnames.parquet")
+    return str(path), rows
+
+
+def test_align_cost_of_every_row(spark, tmp_path):
+    path, data = small_tables(spark, tmp_path)
+
+    def grams(s):
+        return list(dict.fromkeys(" ".join(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)))
+
+    def cost(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1] / max(len(x), len(y))
+
+    want = {}
+    for o, a, b, *_ in data:
+        if a is not None and b is not None:
+            short, long = sorted((grams(a), grams(b)), key=len)
+            want[o] = pytest.approx(min(sum(map(cost, short, p)) for p in permutations(long, len(short))), abs=1e-6)
+    assert {r.ord: r.total for r in queries.queries()["align_cost"](spark, path).collect()} == want
+
+
 def test_function_matcher_and_sql(spark):
     df = spark.createDataFrame([(0, "ab", "ab"), (1, "ab", "xy"), (2, None, "a")], "ord bigint, name1 string, name2 string")
     out = {r.ord: (r.score, r.prediction) for r in api.FunctionMatcher(mode="original").score(df).collect()}
