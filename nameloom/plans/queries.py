@@ -422,7 +422,7 @@ def svm_grid(t: Tables) -> DataFrame:
     split = lambda s: p.join(t.pairs.where(F.col("split") == s).select("ord"), "ord", "left_semi")
     m.learn(split("train"))
     have = m.features_of(split("train")).where(F.size("features") > 0)
-    _, _, results = model.search(have, m.features_of(split("dev")), m.size, [(0.01, 4.0), (0.1, 4.0)], iterations=15)
+    _, _, results = model.search(have, m.features_of(split("dev")), m.size)
     return t.spark.createDataFrame(results, "penalty double, weight double, mrr double")
 
 

@@ -264,6 +264,21 @@ def test_align_cost_of_every_row(spark, tmp_path):
     assert {r.ord: r.total for r in queries.queries()["align_cost"](spark, path).collect()} == want
 
 
+def test_grid_is_whole(spark, tmp_path, monkeypatch):
+    path, _ = small_tables(spark, tmp_path)
+    fit, asked, one = model.fit_sparse, [], []
+
+    def noted(df, penalty, weight, iterations):
+        asked.append((penalty, weight, iterations))
+        one[:] = one or [fit(df, penalty, weight, 1)]
+        return one[0]
+
+    monkeypatch.setattr(model, "fit_sparse", noted)
+    got = queries.queries()["svm_grid"](spark, path).collect()
+    points = [(0.000625 * 5.0**i, w) for i in range(-4, 5) for w in (2.0, 4.0, 6.0, 8.0, 10.0)]
+    assert asked == [(p, w, 60) for p, w in points] and [(r.penalty, r.weight) for r in got] == points
+
+
 def test_function_matcher_and_sql(spark):
     df = spark.createDataFrame([(0, "ab", "ab"), (1, "ab", "xy"), (2, None, "a")], "ord bigint, name1 string, name2 string")
     out = {r.ord: (r.score, r.prediction) for r in api.FunctionMatcher(mode="original").score(df).collect()}
