@@ -205,7 +205,7 @@ def pair_feature_dict(t: Tables) -> DataFrame:
 
 @query
 def aligned_feature_dict(t: Tables) -> DataFrame:
-    p = t.named_pairs().where("label").select("name1", "name2", "label")
+    p = _spread(t.named_pairs().where("label is null or label")).select("name1", "name2")
     rows = features.aligned_gram_pairs(p, tk.chars(F.col("name1")), tk.chars(F.col("name2")), "g")
     return features.gram_pair_counts(rows, "g").where(F.col("cnt") >= features.SUPPORT)
 
@@ -224,6 +224,13 @@ def feature_ids(t: Tables) -> DataFrame:
     return m.features_of(t.named_pairs()).select("ord", _text("features").alias("ids"))
 
 
+@query
+def feature_ids_aligned(t: Tables) -> DataFrame:
+    m = _matcher(t, align=True)
+    m.learn(t.named_pairs().where("ord is not null"))
+    return m.features_of(t.named_pairs()).select("ord", _text("features").alias("ids"))
+
+
 @query
 def sqrt_overlap_bins(t: Tables) -> DataFrame:
     return t.named_pairs().select("ord", _text(features.sqrt_overlap_ids(tk.chars(F.col("name1")), tk.chars(F.col("name2")))).alias("ids"))
@@ -405,8 +412,8 @@ def log_runs(t: Tables) -> DataFrame:
 # The classifier.
 
 
-def _matcher(t: Tables) -> model.NameMatcher:
-    return model.NameMatcher(features.FeatureConfig(mode=17, align=False), t.lexicon(), t.simplify(), t.surname_list())
+def _matcher(t: Tables, align: bool = False) -> model.NameMatcher:
+    return model.NameMatcher(features.FeatureConfig(mode=17, align=align), t.lexicon(), t.simplify(), t.surname_list())
 
 
 @query

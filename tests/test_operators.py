@@ -264,6 +264,16 @@ def test_align_cost_of_every_row(spark, tmp_path):
     assert {r.ord: r.total for r in queries.queries()["align_cost"](spark, path).collect()} == want
 
 
+def test_aligned_counts_have_unlabelled_rows(spark, tmp_path):
+    path, _ = small_tables(spark, tmp_path)
+    got = {r.pair: r.cnt for r in queries.queries()["aligned_feature_dict"](spark, path).collect()}
+    # 张三/张山 stands once with label true and once without label
+    assert got["三--山"] == 2 and got["张 三--张 山"] == 2 and not any("李" in p for p in got)
+    ids = {r.ord: r.ids for r in queries.queries()["feature_ids_aligned"](spark, path).collect()}
+    every = {r.ord: r.ids for r in queries.queries()["feature_ids"](spark, path).collect()}
+    assert set(ids) == set(every) and ids[0] and ids[0] == ids[2] and len(ids[0].split()) < len(every[0].split())
+
+
 def test_grid_is_whole(spark, tmp_path, monkeypatch):
     path, _ = small_tables(spark, tmp_path)
     fit, asked, one = model.fit_sparse, [], []
