@@ -10,6 +10,7 @@ shuffle and is the same on every run.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,20 @@ from nameloom.operators import scratch
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern that cuts text before byte-pair merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest piece handed to the tokenizer at once; a longer text is cut at white space, or in the middle of a run that has none.
+#: Longest piece handed to the tokenizer at once; a longer text is cut at white space or before punctuation, or in the middle of a run that has none.
 PIECE = 100_000
+#: Places where no token of PATTERN can reach across: the last white space before a word, and the end of a word.
+_CUT = re.compile("[ \\t\\n\\r\u3000](?=\\S)|(?<=[^\\W_])(?=[^\\w\\s])")
+
+
+def pieces(text: str, longest: int = PIECE) -> Iterator[str]:
+    """The text in pieces of at most `longest` characters that have together as many tokens as the whole, unless a run without a place to cut is longer."""
+    at = 0
+    while len(text) - at > longest:
+        end = max((m.start() for m in _CUT.finditer(text, at + 1, at + longest + 1)), default=at + longest)
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
@@ -38,7 +51,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY, out: st
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         at = names.index(text)
         for batch in batches:
-            counts = [sum(len(enc.encode_ordinary(t[i : i + PIECE])) for i in range(0, len(t or ""), PIECE)) for t in batch.column(at).to_pylist()]
+            counts = [sum(len(enc.encode_ordinary(p)) for p in pieces(t or "")) for t in batch.column(at).to_pylist()]
             cols = [batch.column(i) for i in range(len(names)) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*(n for n in names if n != text), out])
 

@@ -329,6 +329,13 @@ def test_token_counts(spark):
     texts = ["Hello world", "张三丰", "", None, "<|endoftext|>"]
     got = mixing.count_tokens(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string"), "text").orderBy("id").collect()
     assert [r.n_tokens for r in got] == [len(enc.encode_ordinary(t or "")) for t in texts]
+    # a text longer than a piece has the tokens of the whole
+    r = random.Random(5)
+    long = "".join(r.choice(["international", " ", "  ", "\n", "don't", "张三丰", "，", ". ", "12,5", "_x", "é\u0301"]) for _ in range(70_000))
+    assert all(len(p) <= 40 for p in mixing.pieces(long, 40)) and "".join(mixing.pieces(long, 40)) == long
+    assert sum(len(enc.encode_ordinary(p)) for p in mixing.pieces(long, 400)) == len(enc.encode_ordinary(long))
+    n = mixing.count_tokens(spark.createDataFrame([(1, long)], "id bigint, text string"), "text").first().n_tokens
+    assert len(long) > 2 * mixing.PIECE and n == len(enc.encode_ordinary(long))
 
 
 # 10
