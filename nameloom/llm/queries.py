@@ -40,6 +40,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_pairs(*(_table(spark, sf_dir, t) for t in ("aliases", "readings", "variant_chars")))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(*(_table(spark, sf_dir, t) for t in ("aliases", "readings", "variant_chars")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.same_looking(_table(spark, sf_dir, "pairs"))
 
@@ -82,7 +86,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_records p2_found p2_report p3_found p4_found p5_found p5_forms p6_found p8_found p8_report p9_mix p9_shares p10_found p10_stats".split()
+    names = "p1_found p1_records p2_found p2_report p3_found p4_found p4_groups p5_found p5_forms p6_found p8_found p8_report p9_mix p9_shares p10_found p10_stats".split()
     return {n: globals()[n] for n in names}
 
 

@@ -1,19 +1,25 @@
 """Variant spellings of the names of one entity (problem 4).
 
-Each field of a row is cut into tokens, and a full field (one that names its
-entity with all parts) gets a signature: the bag of its content syllables, so
-script form, homophones, order and format do not matter. Signatures meet in a
-symmetric-delete neighbourhood: a bag and all bags with one syllable deleted. Two
-bags that share a member are at most one syllable apart, by construction, and are of one
-entity if nearly all characters are the same too. All that meet are compared with the
-first of them, never with all others. Where one of them is unlike the first, all of them
-meet again by their characters, with as many left out as may differ: those that share
-such a part are alike by construction, so linking them to the first loses none.
-
-One name is not enough: the two fields of a row have to speak of one entity. Their
-tokens are aligned by optimal assignment that permits equal sounds, small edit
-distances, initials, abbreviations and nicknames; a row whose fields do not align
-carries a name that belongs to another entity and is linked only by both names.
+A field is cut into tokens at punctuation and at form characters. A form character
+(of "company", "town", "Mr" and the like) is no part of a name; which ones they are
+is learned from all rows: where one name of a row holds it, the other one mostly
+lacks it. A token is a sequence of units, by their sound: Han characters, spelled
+syllables, words.
+
+The symmetric-delete index works on tokens: a name has a key for its tokens as they
+are, and one for each unit left out of one token, so two names share a key if and only
+if their tokens are one to one alike but for one slip in one token. Units within a
+token, and tokens within a name, have no order. Those that share a key are candidates;
+the optimal assignment of their tokens has to leave at most OTHER written characters
+without partner. Candidates are drawn with the first name of a key; where one of them
+fails, all names of the key meet again by their characters, with as many left out as
+may differ: those that share such a part are alike by construction, so none is lost.
+
+A single token does not tell an entity (two may share one of their names), so only
+names of two or more tokens are indexed by themselves. The two fields of a row have to
+speak of one entity: their tokens are aligned by optimal assignment that permits equal
+sounds, slips, initials, abbreviations and nicknames. Where they do not align, or no
+field has two tokens, the tokens of both fields together are the name of the row.
 """
 
 from __future__ import annotations
@@ -21,198 +27,236 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from itertools import permutations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameloom.functions.tokens import let
 from nameloom.llm.components import component_ids
 from nameloom.operators import scratch
+from nameloom.operators.assign import solve
 from nameloom.operators.skew import salted_join
 
-# What stands behind the name proper of organisations and places, longest first.
-ORGANISATIONS = "股份有限公司 有限责任公司 有限公司 实业公司 总公司 分公司 公司 合作社 研究所 研究院 事务所 集团 总店 分店 商店 总厂 分厂 工厂 厂".split()
-BRANCH = "第[一二三四五六七八九十]+(?:分部|分店|分厂|分公司)"
-# Marks of a nickname or a form of address.
-ADDRESS = "先生 女士 小姐 老师 那边 哥 姐 家".split()
-NICK = "老小阿"
-#: Fewest content characters of a field that names its entity in full.
-FULL = 5
-#: Share of syllables that two full names of a row have in common if they agree.
-SHARED = 0.6
-#: Characters in which two full names of one sound may differ.
+#: A form character is absent from the other name in more than this share of its rows, and stands in at least so many.
+ABSENT, FORM_ROWS = 2 / 3, 3
+#: Share of the shorter name's units that have a partner in the other name of a row that speaks of one entity.
+SHARED = 0.4
+#: Written characters in which two names of one sound may differ.
 OTHER = 2
-#: Bound of the reading and variant tables that are sent along.
-TABLE_LIMIT = 50_000
-
-
-def _edits(a: str | tuple, b: str | tuple) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        last, row[0] = row[0], i + 1
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
-    return row[-1]
+#: Letters from which a word can hold a slip.
+SLIP_LETTERS = 4
+#: Between the units of a token and the tokens of a name, in text form.
+UNIT, TOKEN = " ", "\x1e"
+#: Keys are sums of hashes below this, so that a unit can be left out of a sum.
+_RING = 1 << 61
+
+_HAN = "㐀-鿿"
+_CHARACTER = re.compile(f"[{_HAN}]")
+_PIECE = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
+_LATIN = rf"[^\W\d_{_HAN}]"
+_JOINED = re.compile(rf"(?<={_LATIN})[-'’](?={_LATIN})")
+_CAMEL = re.compile("(?<=[a-z0-9])(?=[A-Z][a-z])")
+_BREAK = re.compile(r"[^\w\s]+|_")
+_GAP = re.compile(rf"(?<=[{_HAN}])\s+(?=[{_HAN}])")
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """Whether two words are at most one inserted, deleted or replaced letter apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and (a[i:] == b[i + 1 :] or len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
 
 
 class Reader:
-    """Reads a typed field. simple: character -> simplified one; sounds: character -> syllable without tone."""
+    """Reads typed fields. simple: character -> simplified one; sounds: character -> syllable without tone; form: the form characters."""
 
-    def __init__(self, simple: dict[str, str], sounds: dict[str, str]) -> None:
+    def __init__(self, simple: dict[str, str], sounds: dict[str, str], form: str = "") -> None:
         self.simple, self.sounds = str.maketrans(simple), sounds
         self.syllables = set(sounds.values())
-        self.organisation = re.compile("(?:" + "|".join(ORGANISATIONS) + ")(?=$|[(),])")
-        self.branch = re.compile(BRANCH)
-        self.address = [tuple(map(self.sound, w)) for w in ADDRESS]
-        self.nick = {self.sound(c) for c in NICK}
+        self.longest = max(map(len, self.syllables), default=0)
+        self.form = re.compile("[" + re.escape(form) + "]") if form else None
 
     def clean(self, text: str) -> str:
-        """One width, script form and case; brackets and separators unified, white space within Han text dropped."""
-        s = unicodedata.normalize("NFKC", text).translate(self.simple).lower().strip()
-        s = re.sub("[《》〈〉\"“”]", "", s)
-        s = re.sub(r"[\[{（【〔「]", "(", s)
-        s = re.sub(r"[\]}）】〕」]", ")", s)
-        s = re.sub(r"[,，、;；/|·•・‧:：.。-]+", ",", s)
-        return re.sub(r"\s*([(),])\s*", r"\1", re.sub(r"(?<=[㐀-鿿])\s+|\s+(?=[㐀-鿿])", " ", s))
-
-    def content(self, text: str) -> tuple[str, bool]:
-        """Han characters of the name proper, and whether the field has a form that names an entity in full."""
+        """One width, script form and case; Latin words that are joined by hyphens or capitals set apart."""
+        s = unicodedata.normalize("NFKC", text).translate(self.simple)
+        return _JOINED.sub(" ", s if s.isupper() else _CAMEL.sub(" ", s)).lower()
+
+    def sound(self, unit: str) -> str:
+        return self.sounds.get(unit, unit)
+
+    def absences(self, a: str, b: str) -> list[tuple[str, bool]]:
+        """The Han characters of two fields, each with whether the other field lacks its sound; none unless both have some."""
+        x, y = set(_CHARACTER.findall(self.clean(a))), set(_CHARACTER.findall(self.clean(b)))
+        if not x or not y:
+            return []
+        sx, sy = set(map(self.sound, x)), set(map(self.sound, y))
+        return [(c, self.sound(c) not in sy) for c in x] + [(c, self.sound(c) not in sx) for c in y]
+
+    def spell(self, word: str) -> list[str] | None:
+        """A word as syllables (fewest pieces), or None if it is not made of them."""
+        best: list[list[str] | None] = [[]] + [None] * len(word)
+        for i in range(len(word)):
+            if best[i] is not None:
+                for k in range(1, min(self.longest, len(word) - i) + 1):
+                    piece = word[i : i + k]
+                    if piece in self.syllables and (best[i + k] is None or len(best[i + k]) > len(best[i]) + 1):
+                        best[i + k] = best[i] + [piece]
+        return best[-1] or None
+
+    def tokens(self, text: str, gaps: bool = False) -> list[tuple[str, ...]]:
+        """The tokens of a field as units as written. White space between Han characters divides tokens only with `gaps`."""
         s = self.clean(text)
-        pair = bool(re.fullmatch("[㐀-鿿]{2,5} [㐀-鿿]{2,5}", s))
-        s = re.sub(r"(?<=[㐀-鿿]) | (?=[㐀-鿿])", "", s) if not re.search(r"[a-z]", s) else s
-        marked = bool(re.search(r"[(),]", s)) or bool(re.search("[市县]", s)) or pair
-        s = self.branch.sub("", s.replace(" ", ""))
-        s = self.organisation.sub("", s)
-        s = re.sub(r"(?<=[(,])[字名号](?=[㐀-鿿])", "", s)
-        s = re.sub(r"人(?=[),]|$)|^([㐀-鿿]{2})人(?=[㐀-鿿]{2,4},)", lambda m: m.group(1) or "", s)
-        s = re.sub("[市县](?=[㐀-鿿a-z]|[),]|$)", "", s)
-        han = "".join(re.findall(r"[㐀-鿿]", s))
-        return han, marked
-
-    def sound(self, ch: str) -> str:
-        return self.sounds.get(ch, ch)
-
-    def full(self, text: str | None) -> str | None:
-        """Sorted content characters of a full field, else null."""
-        if not text:
-            return None
-        han, marked = self.content(text)
-        return "".join(sorted(han)) if len(han) >= FULL and (marked or len(han) > FULL) else None
-
-    def signature(self, text: str | None) -> list[str] | None:
-        """Sorted content syllables of a full field, else null."""
-        han = self.full(text)
-        return None if han is None else sorted(map(self.sound, han))
-
-    def tokens(self, text: str) -> list[tuple[str, ...]]:
-        """The tokens of a field, each a tuple of syllables; latin text that is spelled-out sound is cut into syllables."""
+        if gaps:
+            s = _GAP.sub(",", s)
+        if self.form:
+            s = self.form.sub(",", s)
         out = []
-        for part in re.findall(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+", re.sub(f"[字名市县人]|{BRANCH}", " ", self.clean(text))):
-            if "㐀" <= part[0] <= "鿿":
-                out.append(tuple(map(self.sound, part)))
-            else:
-                out.append(tuple(self.spell(part)))
+        for part in _BREAK.split(s):
+            units = _PIECE.findall(part)
+            if units and not _CHARACTER.search(part):
+                spelled = [self.spell(u) for u in units]
+                if 2 * sum(map(bool, spelled)) >= len(units):
+                    units = [x for u, parts in zip(units, spelled) for x in parts or [u]]
+            if units:
+                out.append(tuple(units))
         return out
 
-    def spell(self, latin: str) -> list[str]:
-        """Latin letters as syllables (fewest pieces), or as they are if they are none."""
-        best: list[list[str] | None] = [[]] + [None] * len(latin)
-        for i in range(len(latin)):
-            if best[i] is not None:
-                for k in range(1, 7):
-                    piece = latin[i : i + k]
-                    if len(piece) == k and piece in self.syllables and (best[i + k] is None or len(best[i + k]) > len(best[i]) + 1):
-                        best[i + k] = best[i] + [piece]
-        return best[-1] or [latin]
+    def letters(self, token: tuple[str, ...]) -> tuple[str, ...]:
+        """The units that a slip can be in: of words only, their letters; a short word is one unit."""
+        if all(not _CHARACTER.match(u) and u not in self.syllables for u in token):
+            every = "".join(token)
+            return tuple(every) if len(every) >= SLIP_LETTERS else (every,)
+        return token
 
-    def agree(self, a: str, b: str) -> bool:
-        """Whether two fields can name one entity: the tokens of the one with fewer syllables, optimally assigned to the other's, are mostly accounted for."""
+    def names(self, a: str, b: str) -> tuple[bool, list[list[tuple[str, ...]]]]:
+        """(both, names): the names that stand for a row, as tokens; both: they are of the two fields together."""
         ta, tb = self.tokens(a), self.tokens(b)
-        if not ta or not tb:
+        if self.agree(ta, tb):
+            every = [[t for t in x if len("".join(t)) > 1] for x in (ta, tb, self.tokens(a, True), self.tokens(b, True))]
+            full = [x for x in every if len(x) > 1]
+            if full:
+                return False, full
+        return True, [ta + [t for t in tb if t not in ta]]
+
+    def matched(self, x: tuple[str, ...], y: tuple[str, ...]) -> int:
+        """How many units of x have a partner in y: of equal sound, an initial, or a word with a slip; in any order, so abbreviations match whole. A doubled unit, as in nicknames, needs only one."""
+        rest, n = list(map(self.sound, y)), 0
+        once = len(set(x)) == 1
+        for u in map(self.sound, x):
+            near = u if u in rest else next((r for r in rest if (len(u) == 1 and u.isascii() and r.startswith(u)) or (len(u) >= SLIP_LETTERS and u not in self.syllables and _one_edit(u, r))), None)
+            n += near is not None
+            if near is not None and not once:
+                rest.remove(near)
+        return n
+
+    def agree(self, a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> bool:
+        """Whether two fields can name one entity: under the best assignment of their tokens enough units of the shorter one have a partner."""
+        if not a or not b:
             return True
-        if sum(map(len, ta)) > sum(map(len, tb)):
-            ta, tb = tb, ta
-        if len(ta) <= 4 and len(tb) <= 4:
-            cost = [[self._cost(x, y) for y in tb] for x in ta]
-            size = max(len(ta), len(tb))
-            cost = [row + [1.0] * (size - len(tb)) for row in cost] + [[0.0] * size] * (size - len(ta))
-            best = min(sum(cost[i][j] * (len(ta[i]) if i < len(ta) else 0) for i, j in enumerate(p)) for p in permutations(range(size)))
-            if best <= 0.5 * sum(map(len, ta)):
-                return True
-        # parts written in other tokens: the syllables of all tokens as one
-        return self._cost(tuple(x for t in ta for x in t), tuple(x for t in tb for x in t)) <= 0.5
-
-    def _cost(self, x: tuple[str, ...], y: tuple[str, ...]) -> float:
-        """0 where the token is found in the other in any order, as an initial, an abbreviation or a nickname; 1 where it is not."""
-        if x == y:
-            return 0.0
-        for w in self.address:
-            if len(x) > len(w) and x[-len(w) :] == w:
-                x = x[: -len(w)]
-                break
-        if len(x) > 1 and x[0] in self.nick:
-            x = x[1:]
-        rest, missing = list(y), 0
-        for s in x:
-            if s in rest:
-                if len(set(x)) > 1:
-                    rest.remove(s)
-            elif len(s) == 1 and s.isascii() and any(r.startswith(s) for r in rest):
-                pass
-            elif s not in self.syllables and any(r not in self.syllables and abs(len(s) - len(r)) <= 1 < len(s) - 2 and _edits(s, r) <= 1 for r in rest):
-                pass  # latin words that are no sounds may hold a slip
-            else:
-                missing += 1
-        return missing / len(x)
+        if sum(map(len, a)) > sum(map(len, b)):
+            a, b = b, a
+        wanted = SHARED * sum(map(len, a))
+        # what all tokens as one give is never less than the best assignment, what any assignment gives never more
+        if self.matched(tuple(u for t in a for u in t), tuple(u for t in b for u in t)) < wanted and all(len(set(t)) > 1 or len(t) == 1 for t in a):
+            return False
+        gain = np.array([[self.matched(x, y) for y in b] for x in a])
+        free, got = np.ones(len(b), bool), 0
+        for row in gain:
+            j = int(np.argmax(np.where(free, row, -1)))
+            got += row[j] if free[j] else 0
+            free[j] = False
+        return got >= wanted or sum(gain[i, j] for i, j in solve(-gain.astype(float))) >= wanted
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two names (tokens and units in text form) differ in at most OTHER kinds of written units under the best assignment of their tokens."""
+    x, y = ([frozenset(t.split(UNIT)) for t in n.split(TOKEN)] for n in (a, b))
+    left, right = list((Counter(x) - Counter(y)).elements()), list((Counter(y) - Counter(x)).elements())
+    if max(len(left), len(right)) > OTHER + 1:
+        return False  # each of these costs one at least
+    if not left or not right:
+        return sum(map(len, left + right)) <= OTHER
+    apart = np.array([[max(len(s - t), len(t - s)) for t in right] for s in left], float)
+    pairs = solve(apart)
+    alone = [s for i, s in enumerate(left) if i not in {p[0] for p in pairs}] + [t for j, t in enumerate(right) if j not in {p[1] for p in pairs}]
+    return sum(apart[p] for p in pairs) + sum(map(len, alone)) <= OTHER and bool(frozenset().union(*x) & frozenset().union(*y))
 
 
 def reader_tables(readings: DataFrame, variants: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
-    """The bounded tables of a Reader. Of several readings the first counts, without its tone."""
-    v = variants.where("length(simplified) = 1 and length(traditional) = 1").limit(TABLE_LIMIT + 1).collect()
-    r = readings.where("length(ch) = 1 and mandarin <> ''").limit(TABLE_LIMIT + 1).collect()
-    if max(len(v), len(r)) > TABLE_LIMIT:
-        raise ValueError("a table of characters has too many rows to be sent along")
-    simple = {x.traditional: x.simplified for x in sorted(v)}
-    sounds = {x.ch: re.split(r"\W", x.mandarin.strip())[0].rstrip("012345").lower() for x in sorted(r, key=lambda x: (x.ch, x.mandarin), reverse=True)}
-    return simple, {k: s for k, s in sounds.items() if s}
+    """The tables of a Reader; of several readings the first counts, without its tone. One row a character, so Unicode bounds them."""
+    v = variants.where("length(simplified) = 1 and length(traditional) = 1").groupBy("traditional").agg(F.min("simplified")).collect()
+    r = readings.where("length(ch) = 1 and mandarin <> ''").groupBy("ch").agg(F.min("mandarin")).collect()
+    sounds = {ch: re.split(r"\W", m.strip())[0].rstrip("012345").lower() for ch, m in map(tuple, r)}
+    return dict(map(tuple, v)), {k: s for k, s in sounds.items() if s}
+
 
+def form_characters(df: DataFrame, tables: tuple[dict[str, str], dict[str, str]]) -> str:
+    """The form characters of all rows of df (name1, name2), sorted. One row a character reaches the driver."""
+
+    def run(batches):
+        reader, rows, missing = Reader(*tables), Counter(), Counter()
+        for b in batches:
+            for x, y in zip(b.name1, b.name2):
+                for c, lacks in reader.absences(x, y):
+                    rows[c] += 1
+                    missing[c] += lacks
+        yield pd.DataFrame([(c, rows[c], missing[c]) for c in rows], columns=["ch", "n", "absent"])
+
+    every = df.select("name1", "name2").mapInPandas(run, "ch string, n bigint, absent bigint").groupBy("ch").agg(F.sum("n").alias("n"), F.sum("absent").alias("absent"))
+    return "".join(sorted(r.ch for r in every.where((F.col("n") >= FORM_ROWS) & (F.col("absent") > ABSENT * F.col("n"))).select("ch").collect()))
 
-def signatures(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
-    """(ord, s1, s2, h1, h2, agree): signatures and characters of both names of each row, and whether the names can be of one entity.
 
-    Rows with a null ord, or a null or empty name, are left out.
+def row_names(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
+    """(ord, both, name, said): the names that stand for each row of df (ord, name1, name2), in text form as written and by sound.
+
+    Rows with a null ord, or a null or empty name, are left out; a name without
+    any letter or digit stands as it is.
     """
+    rows = df.where("ord is not null and name1 <> '' and name2 <> ''").select("ord", "name1", "name2")
     tables = reader_tables(readings, variants)
-
-    def share(x: list[str], y: list[str]) -> bool:
-        """Two full names agree if most syllables of the shorter one are the same."""
-        return sum((Counter(x) & Counter(y)).values()) >= SHARED * min(len(x), len(y))
+    form = form_characters(rows, tables)
 
     def run(batches):
-        reader = Reader(*tables)
+        reader = Reader(*tables, form)
         for b in batches:
-            s1, s2 = b.name1.map(reader.signature), b.name2.map(reader.signature)
-            ok = [share(x, y) if x is not None and y is not None else reader.agree(n, m) for x, y, n, m in zip(s1, s2, b.name1, b.name2)]
-            yield pd.DataFrame({"ord": b.ord, "s1": s1, "s2": s2, "h1": b.name1.map(reader.full), "h2": b.name2.map(reader.full), "agree": ok})
+            out = []
+            for o, x, y in zip(b.ord, b.name1, b.name2):
+                both, names = reader.names(x, y)
+                for n in names:
+                    parts = sorted(reader.letters(t) for t in n) or [(x,), (y,)]
+                    out.append((o, both, TOKEN.join(map(UNIT.join, parts)), TOKEN.join(UNIT.join(map(reader.sound, t)) for t in parts)))
+            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["ord", "both", "name", "said"])
 
-    rows = df.where("ord is not null and name1 <> '' and name2 <> ''").select("ord", "name1", "name2")
-    return rows.mapInPandas(run, "ord bigint, s1 array<string>, s2 array<string>, h1 string, h2 string, agree boolean")
+    return rows.mapInPandas(run, "ord bigint, both boolean, name string, said string")
 
 
-def _neighbourhood(c):
-    """Keys of a sorted bag and of every bag with one member deleted."""
-    less = F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array_join(F.concat(F.slice(c, F.lit(1), i - 1), F.slice(c, i + 1, F.size(c))), " "))
-    return F.array_distinct(F.concat(F.array(F.array_join(c, " ")), less))
+def _ring(x: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(x), 3)
 
 
-def _kinds(han):
-    """Different characters of a sorted text, in order."""
-    return F.array_distinct(F.split(han, ""))
+def token_keys(said: Column) -> Column:
+    """Hashes of a name's tokens as they are, and with each unit left out of one token of several; a token is the sum of its units' hashes, a name that of its tokens', so each key takes one step."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: F.pmod(s + x, F.lit(_RING)))
+    tokens = F.transform(F.split(said, TOKEN), lambda t: F.transform(F.split(t, UNIT), _ring))
+    less = lambda s, x: F.pmod(s - x, F.lit(_RING))
 
+    def of(ts: Column, sums: Column, whole: Column) -> Column:
+        without = lambda t, i: F.transform(F.array_distinct(t), lambda u: F.pmod(less(whole, _ring(F.get(sums, i))) + _ring(less(F.get(sums, i), u)), F.lit(_RING)))
+        slips = F.transform(ts, lambda t, i: F.when(F.size(t) > 1, without(t, i)).otherwise(F.expr("cast(array() as array<bigint>)")))
+        return F.array_distinct(F.concat(F.array(whole), F.flatten(slips)))
 
-def _subsets(c, fewer: int):
+    return let(tokens, lambda ts: let(F.transform(ts, total), lambda sums: let(total(F.transform(sums, _ring)), lambda whole: of(ts, sums, whole))))
+
+
+def _kinds(name: Column) -> Column:
+    """Different written units of a name."""
+    return F.array_distinct(F.split(name, f"[{UNIT}{TOKEN}]"))
+
+
+def _subsets(c: Column, fewer: int) -> Column:
     """Hashes of a set and of every subset with up to `fewer` members less; the empty one is left out.
 
     Two sets share one of these if and only if each has at most `fewer` members that the
@@ -229,58 +273,63 @@ def _subsets(c, fewer: int):
     return let(F.transform(c, lambda x: F.xxhash64(x)), of)
 
 
-def link_rows(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
-    """(ord, entity): the entity number of every row that has one; rows of one entity share it.
-
-    A row without a full name, or whose names do not agree, is linked by both
-    names together; rows with a null or empty name have no entity.
-    """
-    rows = scratch.write(signatures(df, readings, variants), "signatures").df
-    one = rows.where("agree and (s1 is not null or s2 is not null)")
-    side = lambda s, h: F.struct(F.col(s).alias("bag"), F.col(h).alias("han"))
-    bags = one.select("ord", F.explode(F.array(side("s1", "h1"), side("s2", "h2"))).alias("f")).select("ord", "f.bag", "f.han").where("han is not null").distinct()
-    # names that contradict each other, or say too little, count together
-    both = df.select("ord", "name1", "name2").join(rows.where("not agree or (s1 is null and s2 is null)").select("ord", "s1", "s2"), "ord")
-    text = lambda s, n: F.coalesce(F.array_join(s, " "), F.lower(F.regexp_replace(n, r"[\p{P}\p{IsWhite_Space}]+", "")))
-    pair = both.select("ord", F.md5(F.concat_ws("\x00", text("s1", "name1"), text("s2", "name2"))).alias("key"))
-    known = scratch.write(bags.select("bag", "han").distinct().withColumn("id", F.monotonically_increasing_id()), "bags").df
-    near = known.select("id", "han", F.explode(F.transform(_neighbourhood(F.col("bag")), lambda k: F.xxhash64(k))).alias("key"))
-    near = scratch.write(near, "neighbourhoods").df
+def name_links(known: DataFrame) -> DataFrame:
+    """(a, b): links between alike names of `known` (id, both, name, said), enough to join every two that are alike."""
+    near = scratch.write(known.select("id", F.explode(F.transform(token_keys(F.col("said")), lambda k: F.xxhash64("both", k))).alias("key")), "neighbourhoods").df
     total = near.count()
     several = near.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
-    centres = several.join(known.select(F.col("id").alias("b"), F.col("han").alias("hb")), "b")
-    # equal sounds alone are chance in a large table: all but OTHER characters have to be the same
-    ca, cb = _kinds(F.col("han")), _kinds(F.col("hb"))
-    shared = F.size(F.array_intersect(ca, cb))
-    same = (shared > 0) & (shared >= F.greatest(F.size(ca), F.size(cb)) - OTHER)
-    tried = salted_join(near, centres, "key", total, F.col("id")).where("id <> b").select("key", F.col("id").alias("a"), "b", same.alias("same"))
-    tried = scratch.write(tried, "tried").df
-    linked = tried.where("same").select("a", "b")
+    tried = scratch.write(salted_join(near, several, "key", total, F.col("id")).where("id <> b").select("key", F.col("id").alias("a"), "b"), "candidates").df
+    text = known.select(F.col("id").alias("a"), F.col("name").alias("na"))
+    pairs = tried.select("a", "b").distinct().join(text.hint("merge"), "a")
+    pairs = salted_join(pairs, text.toDF("b", "nb"), "b", total, F.col("a"))
+    check = F.pandas_udf(lambda x, y: pd.Series([alike(p, q) for p, q in zip(x, y)], dtype=bool), "boolean")
+    judged = scratch.write(pairs.select("a", "b", check("na", "nb").alias("same")), "judged").df
+    linked = judged.where("same").select("a", "b")
+    failed = judged.where("not same").select("a", "b")
+    if failed.isEmpty():
+        return linked
     # one member that is not like the first leaves open who is like whom: all members of such a key meet by their characters
-    open_keys = tried.where("not same").select("key").distinct()
-    rest = salted_join(near, open_keys, "key", total, F.col("id"), "left_semi")
-    part = rest.select("id", F.explode(_subsets(_kinds(F.col("han")), OTHER)).alias("part"), "key")
-    part = scratch.write(part.select("id", F.struct("key", "part").alias("key")), "parts").df
+    open_keys = tried.join(failed.hint("merge"), ["a", "b"], "left_semi").select("key").distinct()
+    rest = salted_join(near, open_keys, "key", total, F.col("id"), "left_semi").join(known.select("id", "name").hint("merge"), "id")
+    part = rest.select("id", F.explode(_subsets(_kinds(F.col("name")), OTHER)).alias("part"), "key")
+    part = scratch.write(part.select("id", F.xxhash64("key", "part").alias("key")), "parts").df
     first = part.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
-    alike = salted_join(part, first, "key", part.count(), F.col("id")).where("id <> b").select(F.col("id").alias("a"), "b")
-    linked = linked.union(alike).distinct()
-    # rows hang on their bags; a row with two bags joins them
-    row_bags = salted_join(bags.select("ord", "han"), known.select("han", "id"), "han", total, F.col("ord")).select("ord", "id")
-    row_bags = scratch.write(row_bags, "row-bags").df
-    joined = row_bags.groupBy("ord").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    edges = linked.union(joined.select("a", "b"))
-    roots = component_ids(edges)
-    by_bag = salted_join(joined.select("ord", F.col("a").alias("id")), roots, "id", total, F.col("ord")).select("ord", F.col("root").alias("entity"))
-    by_pair = pair.select("ord", (-1 - F.abs(F.xxhash64("key") / 2).cast("bigint")).alias("entity"))
-    return by_bag.unionByName(by_pair)
+    met = salted_join(part, first, "key", part.count(), F.col("id")).where("id <> b").select(F.col("id").alias("a"), "b")
+    return linked.union(met).distinct()
+
+
+def link_rows(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
+    """(ord, entity): the entity number of every row that has one; rows of one entity share it.
+
+    Rows with a null or empty name have none. Repeated rows, and rows that share an
+    ord, are rows of one entity. An empty table gives no rows.
+    """
+    lists = scratch.write(row_names(df, readings, variants), "row-names").df
+    known = scratch.write(lists.select("both", "name", "said").distinct().withColumn("id", F.monotonically_increasing_id()), "names").df
+    total = lists.count()
+    hung = salted_join(lists.select("ord", F.xxhash64("both", "name").alias("key"), "both", "name"), known.select(F.xxhash64("both", "name").alias("key"), F.col("both").alias("_b"), F.col("name").alias("_n"), "id"), "key", total, F.col("ord"))
+    hung = scratch.write(hung.where("both = _b and name = _n").select("ord", "id"), "row-ids").df
+    # a row with several names joins them
+    first = scratch.write(hung.groupBy("ord").agg(F.min("id").alias("a"), F.collect_set("id").alias("every")), "row-first").df
+    joined = first.select("a", F.explode("every").alias("b")).distinct()
+    roots = component_ids(name_links(known).union(joined))
+    return salted_join(first.select("ord", F.col("a").alias("id")), roots, "id", total, F.col("ord")).select("ord", F.col("root").alias("entity"))
+
+
+def variant_groups(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
+    """(ord, entity, links): every row with the smallest ord of its entity and the number of other rows there."""
+    with scratch.scope():
+        e = scratch.write(link_rows(df, readings, variants), "entities").keep().df
+    size = e.groupBy("entity").agg(F.min("ord").alias("first"), (F.count(F.lit(1)) - 1).alias("links"))
+    return salted_join(e, size, "entity", e.count(), F.col("ord")).select("ord", F.col("first").alias("entity"), "links")
 
 
 def variant_pairs(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
-    """(ord_a, ord_b), ord_a < ord_b: every pair of rows of one entity."""
+    """(ord_a, ord_b), ord_a < ord_b: every pair of rows of one entity. `variant_groups` gives the same as one row for each row."""
     with scratch.scope():
         e = scratch.write(link_rows(df, readings, variants), "entities").keep().df
     total = e.count()
     several = e.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
-    live = salted_join(e, several, "entity", total, F.col("ord"), "left_semi")
+    live = scratch.write(salted_join(e, several, "entity", total, F.col("ord"), "left_semi"), "live").df
     a, b = live.select(F.col("ord").alias("ord_a"), "entity"), live.select(F.col("ord").alias("ord_b"), "entity")
     return salted_join(a, b, "entity", total, F.col("ord_a")).where("ord_a < ord_b").select("ord_a", "ord_b")

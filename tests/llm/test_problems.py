@@ -199,10 +199,55 @@ def test_variants_of_one_sound(spark):
 
 
 def test_reader():
-    reader = variants.Reader({"張": "张"}, {c: s[:-1] for c, s in READINGS})
-    assert reader.spell("zhangweiming") == ["zhang", "wei", "ming"] and reader.spell("kora") == ["kora"]
-    assert reader.signature("海清张伟明（安康）") == reader.signature("张伟明（字安康，海清人）") == reader.signature("海清人張伟明，字安康")
-    assert reader.signature("老张") is None and reader.signature(None) is None and reader.signature("") is None
+    reader = variants.Reader({"張": "张"}, {c: s[:-1] for c, s in READINGS}, "字人老")
+    assert reader.spell("zhangweiming") == ["zhang", "wei", "ming"] and reader.spell("kora") is None
+    assert reader.tokens("海清人張伟明，字安康") == [("海", "清"), ("张", "伟", "明"), ("安", "康")]
+    assert reader.tokens("Zhang-Wei Kora") == [("zhang", "wei", "kora")] and reader.tokens("WeiMing") == [("wei", "ming")]
+    assert reader.names("老张", "海清张伟明（安康）") == (False, [[("海", "清", "张", "伟", "明"), ("安", "康")]] * 2)
+    assert reader.names("老张", "山文涛刚玉（东林）")[0] and reader.names("。", "，") == (True, [[]])
+
+
+def test_alignment():
+    reader = variants.Reader({}, {c: s[:-1] for c, s in READINGS})
+    cut = lambda s: reader.tokens(s)
+    for a, b, same in [("明明", "海清张伟明（安康）", True), ("W. 刚玉东", "刚玉东，文涛", True), ("章伟", "张伟明，安康", True), ("Jon Smyth", "Smith, Jon", True), ("文涛刚", "海清张伟明（安康）", False), ("a,b,c,d,e,f", "f,e,d,c,b,a", True), ("Sam", "Tom", False)]:
+        assert reader.agree(cut(a), cut(b)) == same == reader.agree(cut(b), cut(a)), (a, b)
+    text = lambda *tokens: variants.TOKEN.join(map(variants.UNIT.join, tokens))
+    assert variants.alike(text("张伟明", "安康"), text("安", "张伟文")) and variants.alike(text("张伟明", "安康"), text("康安", "明张伟"))
+    assert not variants.alike(text("张伟明", "安康"), text("张章文", "安海")) and not variants.alike(text("张"), text("章"))
+
+
+def test_token_keys(spark):
+    # two names share a key exactly where one slip in one token tells them apart at most
+    r = random.Random(5)
+    names = [[tuple(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 3))] for _ in range(60)]
+
+    def slips(n):
+        tokens = [tuple(sorted(t)) for t in n]
+        yield tuple(sorted(tokens))
+        for i, t in enumerate(tokens):
+            for j in range(len(t) if len(t) > 1 else 0):
+                yield tuple(sorted([*tokens[:i], t[:j] + t[j + 1 :], *tokens[i + 1 :]]))
+
+    df = spark.createDataFrame([(i, variants.TOKEN.join(variants.UNIT.join(t) for t in n)) for i, n in enumerate(names)], "id bigint, said string")
+    keys = {x.id: set(x.k) for x in df.select("id", variants.token_keys(F.col("said")).alias("k")).collect()}
+    for a, b in combinations(range(len(names)), 2):
+        assert bool(keys[a] & keys[b]) == bool(set(slips(names[a])) & set(slips(names[b])))
+
+
+def test_form_characters(spark):
+    rows = [(f"老{c}", f"{c}{d}") for c, d in zip("张伟明安", "康海清河")] + [("张市", "张"), ("市", "市"), (None, "x"), ("", "")]
+    df = spark.createDataFrame(rows, "name1 string, name2 string").where("name1 <> '' and name2 <> ''")
+    assert variants.form_characters(df, ({}, {})) == "老"
+    assert variants.form_characters(df.limit(0), ({}, {})) == ""
+
+
+def test_variants_of_short_and_latin_names(spark):
+    rows = ["Jon Smith|Smithy", "Smithy|Jon Smith", "Jon Smitth|Smithy", "Jon Smith|Miller", "张|明明", "明明|张", "张|明", "Jonathan|Jonathan", "Jonathan|Jonathon"]
+    df = spark.createDataFrame([(i, *x.split("|")) for i, x in enumerate(rows)], "ord bigint, name1 string, name2 string")
+    assert {tuple(x) for x in variants.variant_pairs(df, *variant_tables(spark)).collect()} == {(0, 1), (0, 2), (1, 2), (4, 5)}
+    groups = {x.ord: (x.entity, x.links) for x in variants.variant_groups(df, *variant_tables(spark)).collect()}
+    assert groups[2] == (0, 2) and groups[5] == (4, 1) and groups[3] == (3, 0)
 
 
 # 5
