@@ -10,22 +10,28 @@ from __future__ import annotations
 import atexit
 import contextlib
 import itertools
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _number = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (local runs, tests) a temporary folder of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset on a local master a temporary folder of our own, elsewhere an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="nameloom-")
@@ -39,14 +45,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/nameloom/{spark.sparkContext.applicationId}/{next(_number):04d}-{label}-{uuid.uuid4().hex[:8]}"
 
 
-_scopes: list[list[Table]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[Table]]:
+    """The open scopes of this thread, the innermost last."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 class Table:
-    """A written table: `df` reads it, `drop()` deletes its files, `keep()` leaves it to the scope around the current one."""
+    """A written table: `df` reads it, `stats` holds what was counted while it was written, `drop()` deletes its files, `keep()` leaves it to the scope around the current one."""
 
-    def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema, stats: dict[str, int] | None = None) -> None:
+        self.spark, self.path, self.stats = spark, path, stats or {}
         self.df = spark.read.schema(schema).parquet(path)
         self.dropped = False
 
@@ -56,9 +69,9 @@ class Table:
         self.dropped = True
 
     def keep(self) -> Table:
-        for s in _scopes[-1:]:
+        for s in _scopes()[-1:]:
             s[:] = [t for t in s if t is not self]
-        for s in _scopes[-2:-1]:
+        for s in _scopes()[-2:-1]:
             s.append(self)
         return self
 
@@ -66,24 +79,26 @@ class Table:
 @contextlib.contextmanager
 def scope() -> Iterator[None]:
     """On leaving, deletes the tables written inside that were not kept; no frame that reads them may be used after."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for t in _scopes.pop():
+        for t in _scopes().pop():
             t.drop()
 
 
-def write(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Table:
-    """Writes df into the shared folder and returns the table."""
+def write(df: DataFrame, label: str, partition_by: list[str] | None = None, **counts: Column) -> Table:
+    """Writes df into the shared folder and returns the table. stats has `rows`, and for each condition in `counts` the rows that meet it; they are counted on the way."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.mode("overwrite")
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    writer = observed.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    table = Table(spark, path, df.schema)
-    for s in _scopes[-1:]:
+    table = Table(spark, path, df.schema, dict(seen.get))
+    for s in _scopes()[-1:]:
         s.append(table)
     return table
 

@@ -21,17 +21,20 @@ def hot_keys(df: DataFrame, key: str, total: int, share: float = HOT_SHARE, floo
     return counted.select(key, F.ceil(F.col("_n") / part).cast("long").alias("_parts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, total: int, spread: Column, how: str = "inner", share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, total: int, spread: Column, how: str = "inner", salts: int | None = None, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
     """left join right on `key`, where `left` may hold any share of its rows in one key and `right` has one row, or few, a key.
 
     Rows of a hot key go to parts by `spread` (a hash of something that differs
-    within the key), as many as its own rows ask for; right's row of that key is
+    within the key), as many as its own rows ask for (or `salts`); right's row of that key is
     copied as often. The list of hot keys is bounded by 1/share and is the only
     thing broadcast; the join itself is a merge, as the planner's estimate of an
-    exploded side is no proof of its size. left is counted first, so a costly one
-    should be a written table. `how` is inner, left or left_semi. Null keys match nothing.
+    exploded side is no proof of its size. total: the rows of left, or more. left is
+    counted by key first, so a costly one should be a written table. `how` is inner, left or left_semi. Null keys match nothing.
     """
-    hot = F.broadcast(hot_keys(left, key, total, share, floor))
+    if total <= floor:  # no key can have more rows
+        return left.join(right.hint("merge"), key, how)
+    hot = hot_keys(left, key, total, share, floor)
+    hot = F.broadcast(hot if salts is None else hot.withColumn("_parts", F.lit(salts).cast("long")))
     none = F.lit(0).cast("long")
     lhs = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts"))).otherwise(none)).drop("_parts")
     rhs = right.join(hot, key, "left")
