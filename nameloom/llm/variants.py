@@ -275,26 +275,26 @@ def _subsets(c: Column, fewer: int) -> Column:
 
 def name_links(known: DataFrame) -> DataFrame:
     """(a, b): links between alike names of `known` (id, both, name, said), enough to join every two that are alike."""
-    near = scratch.write(known.select("id", F.explode(F.transform(token_keys(F.col("said")), lambda k: F.xxhash64("both", k))).alias("key")), "neighbourhoods").df
-    total = near.count()
+    near = scratch.write(known.select("id", F.explode(F.transform(token_keys(F.col("said")), lambda k: F.xxhash64("both", k))).alias("key")), "neighbourhoods")
+    near, total = near.df, near.stats["rows"]
     several = near.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
     tried = scratch.write(salted_join(near, several, "key", total, F.col("id")).where("id <> b").select("key", F.col("id").alias("a"), "b"), "candidates").df
     text = known.select(F.col("id").alias("a"), F.col("name").alias("na"))
     pairs = tried.select("a", "b").distinct().join(text.hint("merge"), "a")
     pairs = salted_join(pairs, text.toDF("b", "nb"), "b", total, F.col("a"))
     check = F.pandas_udf(lambda x, y: pd.Series([alike(p, q) for p, q in zip(x, y)], dtype=bool), "boolean")
-    judged = scratch.write(pairs.select("a", "b", check("na", "nb").alias("same")), "judged").df
-    linked = judged.where("same").select("a", "b")
-    failed = judged.where("not same").select("a", "b")
-    if failed.isEmpty():
+    judged = scratch.write(pairs.select("a", "b", check("na", "nb").alias("same")), "judged", failed=~F.col("same"))
+    linked = judged.df.where("same").select("a", "b")
+    if not judged.stats["failed"]:
         return linked
+    failed = judged.df.where("not same").select("a", "b")
     # one member that is not like the first leaves open who is like whom: all members of such a key meet by their characters
     open_keys = tried.join(failed.hint("merge"), ["a", "b"], "left_semi").select("key").distinct()
     rest = salted_join(near, open_keys, "key", total, F.col("id"), "left_semi").join(known.select("id", "name").hint("merge"), "id")
     part = rest.select("id", F.explode(_subsets(_kinds(F.col("name")), OTHER)).alias("part"), "key")
-    part = scratch.write(part.select("id", F.xxhash64("key", "part").alias("key")), "parts").df
-    first = part.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
-    met = salted_join(part, first, "key", part.count(), F.col("id")).where("id <> b").select(F.col("id").alias("a"), "b")
+    part = scratch.write(part.select("id", F.xxhash64("key", "part").alias("key")), "parts")
+    first = part.df.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("key", "b")
+    met = salted_join(part.df, first, "key", part.stats["rows"], F.col("id")).where("id <> b").select(F.col("id").alias("a"), "b")
     return linked.union(met).distinct()
 
 
@@ -304,32 +304,33 @@ def link_rows(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFr
     Rows with a null or empty name have none. Repeated rows, and rows that share an
     ord, are rows of one entity. An empty table gives no rows.
     """
-    lists = scratch.write(row_names(df, readings, variants), "row-names").df
+    lists = scratch.write(row_names(df, readings, variants), "row-names")
+    lists, total = lists.df, lists.stats["rows"]
     known = scratch.write(lists.select("both", "name", "said").distinct().withColumn("id", F.monotonically_increasing_id()), "names").df
-    total = lists.count()
     hung = salted_join(lists.select("ord", F.xxhash64("both", "name").alias("key"), "both", "name"), known.select(F.xxhash64("both", "name").alias("key"), F.col("both").alias("_b"), F.col("name").alias("_n"), "id"), "key", total, F.col("ord"))
     hung = scratch.write(hung.where("both = _b and name = _n").select("ord", "id"), "row-ids").df
     # a row with several names joins them
     first = scratch.write(hung.groupBy("ord").agg(F.min("id").alias("a"), F.collect_set("id").alias("every")), "row-first").df
-    joined = first.select("a", F.explode("every").alias("b")).distinct()
+    joined = first.select("a", F.explode("every").alias("b")).where("a <> b").distinct()
     roots = component_ids(name_links(known).union(joined))
-    return salted_join(first.select("ord", F.col("a").alias("id")), roots, "id", total, F.col("ord")).select("ord", F.col("root").alias("entity"))
+    # a name that is linked to no other stands for itself
+    return salted_join(first.select("ord", F.col("a").alias("id")), roots, "id", total, F.col("ord"), "left").select("ord", F.coalesce("root", "id").alias("entity"))
 
 
 def variant_groups(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
     """(ord, entity, links): every row with the smallest ord of its entity and the number of other rows there."""
     with scratch.scope():
-        e = scratch.write(link_rows(df, readings, variants), "entities").keep().df
-    size = e.groupBy("entity").agg(F.min("ord").alias("first"), (F.count(F.lit(1)) - 1).alias("links"))
-    return salted_join(e, size, "entity", e.count(), F.col("ord")).select("ord", F.col("first").alias("entity"), "links")
+        e = scratch.write(link_rows(df, readings, variants), "entities").keep()
+    size = e.df.groupBy("entity").agg(F.min("ord").alias("first"), (F.count(F.lit(1)) - 1).alias("links"))
+    return salted_join(e.df, size, "entity", e.stats["rows"], F.col("ord")).select("ord", F.col("first").alias("entity"), "links")
 
 
 def variant_pairs(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFrame:
     """(ord_a, ord_b), ord_a < ord_b: every pair of rows of one entity. `variant_groups` gives the same as one row for each row."""
     with scratch.scope():
-        e = scratch.write(link_rows(df, readings, variants), "entities").keep().df
-    total = e.count()
-    several = e.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
-    live = scratch.write(salted_join(e, several, "entity", total, F.col("ord"), "left_semi"), "live").df
+        e = scratch.write(link_rows(df, readings, variants), "entities").keep()
+    total = e.stats["rows"]
+    several = e.df.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
+    live = scratch.write(salted_join(e.df, several, "entity", total, F.col("ord"), "left_semi"), "live").df
     a, b = live.select(F.col("ord").alias("ord_a"), "entity"), live.select(F.col("ord").alias("ord_b"), "entity")
     return salted_join(a, b, "entity", total, F.col("ord_a")).where("ord_a < ord_b").select("ord_a", "ord_b")
