@@ -17,6 +17,8 @@ SEPARATOR = "--"
 LONGEST_DIFFERENCE = 5
 #: Positive pairs that must hold a gram pair.
 SUPPORT = 2
+#: Most entries of a dictionary that is sent whole to all executors (three numbers each).
+SENT_ENTRIES = 1_000_000
 _OVERLAP = len(tk.ORDERS) * len(bins.EDGES) + 1
 _NONE = "cast(array() as array<int>)"
 
@@ -84,16 +86,18 @@ def distance_ids(a: Column, b: Column, begin: int = 1, measure: int = 1) -> Colu
     return bins.binarize(values[measure](), begin)
 
 
-def all_gram_pairs(a: Column, b: Column) -> Column:
-    """Every pair of grams of both sides, and the grams of one side only with nothing."""
-    return tk.let(tk.gram_union(a), lambda ga: tk.let(tk.gram_union(b), lambda gb: _every_pair(ga, gb)))
+def gram_pair_rows(df: DataFrame, keep: list[str], a: Column, b: Column) -> DataFrame:
+    """(*keep, pair): every pair of grams of both sides, and the grams of one side only with nothing; as rows of two generators in compiled code, without an array of them."""
 
+    def marked(x: Column, y: Column) -> Column:
+        """Each gram and whether the other side lacks it, and a last one that stands for no gram."""
+        return F.concat(F.transform(x, lambda g: F.struct(g.alias("g"), (~F.array_contains(y, g)).alias("only"))), F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(False).alias("only"))))
 
-def _every_pair(ga: Column, gb: Column) -> Column:
-    every = F.flatten(F.transform(ga, lambda x: F.transform(gb, lambda y: F.concat(x, F.lit(SEPARATOR), y))))
-    left = F.transform(F.array_except(ga, gb), lambda x: F.concat(x, F.lit(SEPARATOR)))
-    right = F.transform(F.array_except(gb, ga), lambda y: F.concat(F.lit(SEPARATOR), y))
-    return F.concat(every, left, right)
+    both = tk.let(tk.gram_union(a), lambda x: tk.let(tk.gram_union(b), lambda y: F.struct(marked(x, y).alias("a"), marked(y, x).alias("b"))))
+    rows = df.select(*keep, both.alias("_g")).select(*keep, F.explode("_g.a").alias("_x"), F.col("_g.b").alias("_b")).select(*keep, "_x", F.explode("_b").alias("_y"))
+    x, y = F.col("_x.g"), F.col("_y.g")
+    wanted = (x.isNotNull() & y.isNotNull()) | (y.isNull() & F.col("_x.only")) | (x.isNull() & F.col("_y.only"))
+    return rows.where(wanted).select(*keep, F.concat(F.coalesce(x, F.lit("")), F.lit(SEPARATOR), F.coalesce(y, F.lit(""))).alias("pair"))
 
 
 def aligned_gram_pairs(df: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
@@ -109,13 +113,16 @@ def aligned_gram_pairs(df: DataFrame, a: Column, b: Column, name: str) -> DataFr
     return step.withColumn(name, F.concat(got, F.coalesce(left, right, F.expr("cast(array() as array<string>)")))).drop("_ga", "_gb", "_p")
 
 
-def with_gram_pairs(df: DataFrame, a: Column, b: Column, align: bool, name: str) -> DataFrame:
-    return aligned_gram_pairs(df, a, b, name) if align else df.withColumn(name, all_gram_pairs(a, b))
+def pair_rows(df: DataFrame, keep: list[str], a: Column, b: Column, align: bool) -> DataFrame:
+    """(*keep, pair): the gram pairs of each row, all of them or those of the best assignment."""
+    if not align:
+        return gram_pair_rows(df, keep, a, b)
+    return aligned_gram_pairs(df, a, b, "_pairs").select(*keep, F.explode("_pairs").alias("pair"))
 
 
-def gram_pair_counts(df: DataFrame, pairs: str) -> DataFrame:
-    """(pair, cnt): in how many rows of df each gram pair of the array column stands."""
-    return df.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("cnt"))
+def gram_pair_counts(rows: DataFrame) -> DataFrame:
+    """(pair, cnt): how many of the rows (pair) hold each gram pair, combined before the shuffle."""
+    return rows.groupBy("pair").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def pair_dictionary(df: DataFrame, config: FeatureConfig, support: int = SUPPORT) -> DataFrame:
@@ -129,10 +136,11 @@ def pair_dictionary(df: DataFrame, config: FeatureConfig, support: int = SUPPORT
     for i, (a, b) in enumerate(((tk.chars(F.col("rep1.simp")), tk.chars(F.col("rep2.simp"))), (config.sounds("rep1"), config.sounds("rep2")))):
         if config.left_out == 4 + i:
             continue
-        counts = gram_pair_counts(with_gram_pairs(rows, a, b, config.align, "_pairs"), "_pairs")
+        counts = gram_pair_counts(pair_rows(rows, [], a, b, config.align))
         if kept is not None:
             counts = kept.unionByName(counts).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
         kept = counts.where(F.col("cnt") >= support)
+    kept = scratch.write(kept, "kept").df  # ordering reads its input twice
     return ordered.dense_index(kept, F.col("pair"), name="id").select("pair", "cnt", F.col("id").cast("int").alias("id"))
 
 
@@ -175,21 +183,20 @@ def fixed_ids(config: FeatureConfig, surnames: list[str]) -> Column:
 def extract(df: DataFrame, key: str, config: FeatureConfig, surnames: list[str], dictionary: DataFrame) -> DataFrame:
     """(key, features): sorted active ids of each row of df (key, rep1, rep2).
 
-    Gram pairs meet the dictionary in a join on the pair, as it grows with the
-    training data; ids that occur twice are one.
+    Gram pairs meet the dictionary by two hashes of the pair, together 128 bits. A
+    dictionary of at most SENT_ENTRIES is broadcast; a larger one is merge-joined.
+    Which side is small is said here, as the planner takes the exploded one for small.
+    Ids that occur twice are one.
     """
-    base = df.select(key, "rep1", "rep2", fixed_ids(config, surnames).alias("_fixed"))
-    wanted = []
-    if config.left_out != 4:
-        base = with_gram_pairs(base, tk.chars(F.col("rep1.simp")), tk.chars(F.col("rep2.simp")), config.align, "_c")
-        wanted.append("_c")
-    if config.left_out != 5:
-        base = with_gram_pairs(base, config.sounds("rep1"), config.sounds("rep2"), config.align, "_s")
-        wanted.append("_s")
-    base = scratch.write(base, "grams").df  # grams and fixed ids are read twice
-    pairs = base.select(key, F.explode(F.array_distinct(F.concat(*wanted))).alias("pair"))
-    hits = pairs.join(dictionary.select("pair", (F.col("id") + config.offsets()["grams"]).alias("id")), "pair").select(key, "id")
-    every = base.select(key, F.explode_outer("_fixed").alias("id")).unionByName(hits)
+    sides = [(tk.chars(F.col("rep1.simp")), tk.chars(F.col("rep2.simp"))), (config.sounds("rep1"), config.sounds("rep2"))]
+    hashes = lambda h, g: (F.xxhash64("pair").alias(h), F.xxhash64("pair", F.lit(1)).alias(g))
+    known = dictionary.select(*hashes("_h", "_g"), (F.col("id") + config.offsets()["grams"]).alias("id"))
+    known = known.hint("broadcast" if dictionary.count() <= SENT_ENTRIES else "merge")
+    every = df.select(key, F.explode_outer(fixed_ids(config, surnames)).alias("id"))
+    for i, (a, b) in enumerate(sides):
+        if config.left_out != 4 + i:
+            mine = pair_rows(df, [key], a, b, config.align).select(key, *hashes("_h", "_g2"))
+            every = every.unionByName(mine.join(known, "_h").where("_g = _g2").select(key, "id"))
     return every.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("features"))
 
 

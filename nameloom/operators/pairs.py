@@ -18,6 +18,8 @@ NOISE_ENDINGS = ["列表", "将军", "代表", "运动", "问题"]
 NOISE_PARTS = ["维基", "慰安妇"]
 #: Negative pairs a source gets.
 NEGATIVES = 10
+#: Most targets of a block that is sent to all rows instead of meeting them by a shuffle.
+SENT_TARGETS = 1000
 # Steps of the random draw; those that divide the number of rows are not used.
 _STEPS = [7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823]
 
@@ -123,28 +125,28 @@ def random_pairs(df: DataFrame, negatives: int = NEGATIVES, seed: int = 1) -> Da
     return own.unionByName(drawn.join(indexed.select("_i", "name2"), "_i").select("ord", "name1", "name2", F.lit(False).alias("label")))
 
 
-def confused_pairs(df: DataFrame, negatives: int = NEGATIVES, seed: int = 1, top_up: bool = True, first_block: int = 512) -> DataFrame:
+def confused_pairs(df: DataFrame, negatives: int = NEGATIVES, seed: int = 1, top_up: bool = True, first_block: int | None = None) -> DataFrame:
     """(ord, name1, name2, label, target_ord): each row with its own target and with the first `negatives` targets in order of ord that are similar.
 
     A target is similar if its Levenshtein similarity to name1 is above 0; it must
     differ from name1 and from name2, and not be the row's own. Such a target shares
     a character, so candidates come from a join on characters. As only the first
-    ones count, targets are taken in blocks of growing size, and each block meets
-    only the rows that still lack some. With `top_up`, rows that end short get
+    ones count, targets are taken in blocks of growing size (the first of four times
+    `negatives`, unless given), and each block meets only the rows that still lack some. With `top_up`, rows that end short get
     random other targets. Null names take no part; targets that repeat count each.
     """
     rows = df.where("ord is not null and name1 is not null and name2 is not null").select("ord", "name1", "name2")
     indexed = scratch.write(ordered.dense_index(rows, F.col("ord"), name="_i"), "confuse").df
     n = indexed.count()
     open_rows = scratch.write(indexed.select("_i", "ord", "name1", "name2", F.lit(negatives).alias("_lack")), "open")
-    found, low, size = None, 0, first_block
+    found, low, size = None, 0, first_block or 4 * negatives
     while low < n and not open_rows.df.isEmpty():
         block = indexed.where((F.col("_i") >= low) & (F.col("_i") < low + size)).select(F.col("_i").alias("_j"), F.col("ord").alias("target_ord"), F.col("name2").alias("_t"))
         signs = block.select("*", F.explode(F.array_distinct(tk.chars(F.col("_t")))).alias("_c"))
         mine = open_rows.df.select("*", F.explode(F.array_distinct(tk.chars(F.col("name1")))).alias("_c"))
         # a pair is looked at under the first character of name1 that both hold, so it comes out once
         first = F.get(F.array_intersect(tk.chars(F.col("name1")), tk.chars(F.col("_t"))), F.lit(0)) == F.col("_c")
-        cand = mine.join(signs, "_c").where((F.col("_i") != F.col("_j")) & (F.col("_t") != F.col("name1")) & (F.col("_t") != F.col("name2")) & first)
+        cand = mine.join(signs.hint("broadcast" if size <= SENT_TARGETS else "merge"), "_c").where((F.col("_i") != F.col("_j")) & (F.col("_t") != F.col("name1")) & (F.col("_t") != F.col("name2")) & first)
         hits = cand.where(sim.levenshtein_similarity(F.col("name1"), F.col("_t")) > 0).select("_i", "ord", "name1", "_lack", "_j", "target_ord", "_t")
         # the first of each row; the group limit of the window keeps as many of each task before the shuffle
         place = F.row_number().over(W.partitionBy("_i").orderBy("_j"))

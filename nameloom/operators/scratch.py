@@ -103,6 +103,12 @@ def write(df: DataFrame, label: str, partition_by: list[str] | None = None, **co
     return table
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over more tasks than cores, by a hash of `keys`: for rows of few bytes that are long work, which one task would read as one small file. Given as a number, as parts are merged by size otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

@@ -62,11 +62,6 @@ def _text(ids) -> F.Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """The rows over more tasks than cores: few bytes of names are long work where a row's matrix has hundreds of cells. Given as a number, as parts are merged by size otherwise."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "ord")
-
-
 # Sources.
 
 
@@ -199,20 +194,20 @@ def tfidf_sim(t: Tables) -> DataFrame:
 
 @query
 def pair_feature_dict(t: Tables) -> DataFrame:
-    p = t.named_pairs().where("label is null or label").select("ord", features.all_gram_pairs(tk.chars(F.col("name1")), tk.chars(F.col("name2"))).alias("g"))
-    return features.gram_pair_counts(p, "g").where(F.col("cnt") >= features.SUPPORT)
+    rows = features.gram_pair_rows(scratch.spread(t.named_pairs().where("label is null or label"), "ord"), [], tk.chars(F.col("name1")), tk.chars(F.col("name2")))
+    return features.gram_pair_counts(rows).where(F.col("cnt") >= features.SUPPORT)
 
 
 @query
 def aligned_feature_dict(t: Tables) -> DataFrame:
-    p = _spread(t.named_pairs().where("label is null or label")).select("name1", "name2")
-    rows = features.aligned_gram_pairs(p, tk.chars(F.col("name1")), tk.chars(F.col("name2")), "g")
-    return features.gram_pair_counts(rows, "g").where(F.col("cnt") >= features.SUPPORT)
+    p = scratch.spread(t.named_pairs().where("label is null or label"), "ord").select("name1", "name2")
+    rows = features.pair_rows(p, [], tk.chars(F.col("name1")), tk.chars(F.col("name2")), align=True)
+    return features.gram_pair_counts(rows).where(F.col("cnt") >= features.SUPPORT)
 
 
 @query
 def align_cost(t: Tables) -> DataFrame:
-    p = _spread(t.named_pairs()).withColumn("a", tk.gram_union(tk.chars(F.col("name1")))).withColumn("b", tk.gram_union(tk.chars(F.col("name2"))))
+    p = scratch.spread(t.named_pairs(), "ord").withColumn("a", tk.gram_union(tk.chars(F.col("name1")))).withColumn("b", tk.gram_union(tk.chars(F.col("name2"))))
     p = p.withColumn("cost", assign.cost_matrix(F.col("a"), F.col("b"))).withColumn("p", assign.assignment("cost"))
     return p.select("ord", F.round(assign.total_cost(F.col("cost"), F.col("p")), 6).alias("total"))
 
