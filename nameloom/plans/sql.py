@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from nameloom.functions.bins import EDGES
-from nameloom.operators.evaluate import TIED_HITS, TIED_RECIPROCAL
-from nameloom.operators.pairs import NOISE_ENDINGS, NOISE_PARTS
+# Fixed values, stated here once more, so that a wrong one in the code under test shows.
+EDGES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+TIED_HITS, TIED_RECIPROCAL = 10, 0.2745
+NOISE_ENDINGS = ["列表", "将军", "代表", "运动", "问题"]
+NOISE_PARTS = ["维基", "慰安妇"]
 
 _NAMED = "named AS (SELECT ord, name1, name2, label FROM pairs WHERE name1 IS NOT NULL AND name2 IS NOT NULL)"
 _NAMES = "names AS (SELECT DISTINCT name FROM (SELECT name1 AS name FROM pairs UNION ALL SELECT name2 FROM pairs) WHERE name IS NOT NULL)"
@@ -103,6 +105,107 @@ def _phonemes(x: str, onsets: list[str]) -> str:
     return f"trim(left({s}, {cut}) || ' ' || substring({s}, {cut} + 1))"
 
 
+_ONSETS = {"m": ["zh", "ch", "sh"], "c": ["gw", "ct", "ng", "kw"]}
+
+
+def _sounded(more: str = "") -> str:
+    """sounded: every row of `named` with, for both names, the syllables (s) and phonemes (p) in Mandarin (m) and Cantonese (c), and the name spelled out after conversion (t)."""
+    split = lambda l: f"list_filter([left(r.s_{l}, CASE WHEN left(r.s_{l}, 2) IN ({', '.join(repr(o) for o in _ONSETS[l])}) THEN 2 ELSE 1 END), substring(r.s_{l}, CASE WHEN left(r.s_{l}, 2) IN ({', '.join(repr(o) for o in _ONSETS[l])}) THEN 3 ELSE 2 END)], lambda x: x <> '')"  # noqa: E731, E741
+    none = "CAST([] AS VARCHAR[])"
+    keep = lambda v: f"coalesce(list({v} ORDER BY i) FILTER ({v} IS NOT NULL), {none})"
+    return f"""WITH {_NAMED}, {_NAMES}, {_READ},
+read AS (SELECT ch, {_syllable('m')} AS s_m, {_syllable('c')} AS s_c FROM sound),
+placed AS (SELECT name, unnest({_chars('name')}) AS ch, unnest(range(1, len({_chars('name')}) + 1)) AS i FROM names),
+told AS (SELECT p.name, p.i, r.s_m, r.s_c, CASE WHEN r.s_m IS NOT NULL THEN {split('m')} END AS p_m, CASE WHEN r.s_c IS NOT NULL THEN {split('c')} END AS p_c,
+                coalesce(coalesce(q.s_m, CASE WHEN q.ch IS NOT NULL THEN '' END), coalesce(v.simplified, p.ch)) AS t
+         FROM placed p LEFT JOIN read r ON p.ch = r.ch LEFT JOIN (SELECT traditional, max(simplified) AS simplified FROM variant_chars GROUP BY traditional) v ON p.ch = v.traditional LEFT JOIN read q ON q.ch = coalesce(v.simplified, p.ch)),
+said AS (SELECT name, {keep('s_m')} AS s_m, {keep('s_c')} AS s_c, coalesce(flatten(list(p_m ORDER BY i) FILTER (p_m IS NOT NULL)), {none}) AS p_m, coalesce(flatten(list(p_c ORDER BY i) FILTER (p_c IS NOT NULL)), {none}) AS p_c, string_agg(t, '' ORDER BY i) AS t FROM told GROUP BY name
+         UNION ALL SELECT '', {none}, {none}, {none}, {none}, ''),
+sounded AS (SELECT n.*, x.s_m AS a_s_m, x.p_m AS a_p_m, x.t AS a_t, y.s_m AS b_s_m, y.s_c AS b_s_c, y.p_m AS b_p_m, y.p_c AS b_p_c, y.t AS b_t FROM named n JOIN said x ON n.name1 = x.name JOIN said y ON n.name2 = y.name){more}"""
+
+
+def _features(simple: str) -> str:
+    """All ids of mode 17 (phonemes, no sound grams): overlaps, surname, length, distance, and dictionary ids of gram pairs from 88 on."""
+    a, b, x, y = "a", "b", "a_p_m", "b_p_m"
+    rates = ", ".join(f"{_jaccard(_grams(p, n), _grams(q, n))} AS {k}{n}" for k, p, q in (("r", a, b), ("q", x, y)) for n in (1, 2, 3))
+    bins = lambda k, at: [_bins(f"{k}{n}", at + 11 * (n - 1)) for n in (1, 2, 3)] + [f"CASE WHEN greatest({k}1, {k}2, {k}3) = 0 THEN ['{at + 33}'] ELSE CAST([] AS VARCHAR[]) END"]
+    known = "IN (SELECT surname FROM surnames WHERE surname <> '')"
+    one, two = "(left(n1, 1) = left(n2, 1) AND n1 <> '')", "(left(n1, 2) = left(n2, 2))"
+    rest = [f"CASE WHEN {one} THEN ['69'] ELSE CAST([] AS VARCHAR[]) END", f"CASE WHEN {one} AND left(n1, 1) {known} OR {two} AND left(n1, 2) {known} THEN ['70'] ELSE CAST([] AS VARCHAR[]) END", "[(71 + least(abs(length(n1) - length(n2)), 5))::VARCHAR]", _bins("v", 77)]
+    fixed = f"flatten([{', '.join(bins('r', 1) + bins('q', 35) + rest)}])"
+    return f"""{_sounded()},
+conv AS (SELECT *, {simple.format(x='name1')} AS n1, {simple.format(x='name2')} AS n2 FROM sounded WHERE len(a_p_m) > 0 AND len(b_p_m) > 0),
+lists AS (SELECT *, {_chars('n1')} AS a, {_chars('n2')} AS b FROM conv),
+g AS (SELECT ord, label, {_all_grams('a')} AS x, {_all_grams('b')} AS y FROM lists),
+every AS (SELECT ord, label, u || '--' || w AS pair FROM (SELECT ord, label, u, unnest(y) AS w FROM (SELECT ord, label, unnest(x) AS u, y FROM g))
+  UNION ALL SELECT ord, label, unnest(list_filter(x, lambda e: NOT list_contains(y, e))) || '--' FROM g
+  UNION ALL SELECT ord, label, '--' || unnest(list_filter(y, lambda e: NOT list_contains(x, e))) FROM g),
+dict AS (SELECT pair, 87 + row_number() OVER (ORDER BY pair) AS id FROM every WHERE label IS NULL OR label GROUP BY pair HAVING count(*) >= 2),
+shares AS (SELECT ord, n1, n2, {rates}, {_similar(x, y)} AS v FROM lists),
+ids AS (SELECT ord, unnest({fixed})::BIGINT AS id FROM shares UNION SELECT e.ord, d.id FROM every e JOIN dict d USING (pair)),
+found AS (SELECT ord, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids FROM ids GROUP BY ord)
+SELECT n.ord, coalesce(f.ids, '') AS ids FROM named n LEFT JOIN found f USING (ord)"""
+
+
+def _damerau() -> str:
+    """Edits with swaps: one row of the table after the other, the last two carried."""
+    cell = "least(above[j[1] + 1] + 1, done[j[1]] + 1, above[j[1]] + CASE WHEN b[j[1]] = a[i + 1] THEN 0 ELSE 1 END, CASE WHEN i > 0 AND j[1] > 1 AND a[i + 1] = b[j[1] - 1] AND a[i] = b[j[1]] THEN before[j[1] - 1] + 1 ELSE 1000000 END)"
+    row = f"list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda done, j: list_append(done, {cell}), [above[1] + 1])"
+    lists = _lists().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{lists},
+d(ord, i, a, b, above, before) AS (
+  SELECT ord, 0, a, b, range(0, len(b) + 1), range(0, len(b) + 1) FROM lists
+  UNION ALL SELECT ord, i + 1, a, b, {row}, above FROM d WHERE i < len(a)),
+last AS (SELECT ord, a, b, above[len(b) + 1] AS e FROM d WHERE i = len(a))
+SELECT ord, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN len(a) = 0 THEN 1.0::DOUBLE - len(b)::DOUBLE / (len(b) + 1) WHEN len(b) = 0 THEN 1.0::DOUBLE - len(a)::DOUBLE / (len(a) + 1) ELSE 1.0::DOUBLE - e::DOUBLE / greatest(len(a), len(b)) END, 9) AS score FROM last"""
+
+
+def _sound_bins() -> str:
+    """Legacy bins of `sounds:characters`: three orders of the sounds' letters, two of the characters, 56 where no character is shared."""
+    some = lambda x, orders: f"list_distinct(flatten([{', '.join(_grams(x, n) for n in orders)}]))"
+    share = lambda t, have, n: f"CASE WHEN len({_grams(t, n)}) > 0 THEN len(list_intersect({_grams(t, n)}, {have}))::DOUBLE / sqrt(len({_grams(t, n)})::DOUBLE) END"
+    parts = [(f"q{k}", t, h, n) for k, (t, h, n) in enumerate([("tb", "ha", 1), ("tb", "ha", 2), ("tb", "ha", 3), ("cb", "hc", 1), ("cb", "hc", 2)])]
+    ids = ", ".join(_cumulative(q, 1 + 11 * k) for k, (q, *_) in enumerate(parts))
+    more = f""",
+cut AS (SELECT ord, {_chars("array_to_string(a_s_m, '')")} AS ta, {_chars("array_to_string(b_s_m, '')")} AS tb, {_chars("replace(name1, ':', '')")} AS ca, {_chars("replace(name2, ':', '')")} AS cb FROM sounded),
+have AS (SELECT *, {some('ta', (1, 2, 3))} AS ha, {some('ca', (1, 2))} AS hc FROM cut),
+q AS (SELECT ord, ca, cb, {", ".join(f"{share(t, h, n)} AS {q}" for q, t, h, n in parts)} FROM have)
+SELECT ord, {_text(f"flatten([{ids}, CASE WHEN len(list_intersect(ca, cb)) = 0 THEN ['56'] ELSE CAST([] AS VARCHAR[]) END])")} AS ids FROM q"""
+    return _sounded(more)
+
+
+def _modes(simple: str) -> str:
+    sides = {
+        "original": (_chars("name1"), _chars("name2")),
+        "simplified": (_chars(simple.format(x="name1")), _chars(simple.format(x="name2"))),
+        "pinyin": (_chars("a_t"), _chars("b_t")),
+        "pronun1": ("a_s_m", "b_s_m"),
+        "pronun2": ("a_p_m", "b_p_m"),
+        "pronun3": (_chars("array_to_string(a_s_m, '')"), _chars("array_to_string(b_s_c, '')")),
+        "pronun4": ("a_p_m", "b_p_c"),
+    }
+    lists = ", ".join(f"{a} AS {m}_a, {b} AS {m}_b" for m, (a, b) in sides.items())
+    return _sounded(f", l AS (SELECT ord, {lists} FROM sounded) SELECT ord, " + ", ".join(f"round({_similar(f'{m}_a', f'{m}_b')}, 6) AS {m}" for m in sides) + " FROM l")
+
+
+_CELLS = r"""parsed AS (
+  SELECT line_no, line,
+         regexp_full_match(line, '("([^"]|"")*"|[^"\t][^\t]*|)(\t("([^"]|"")*"|[^"\t][^\t]*|))*', 's') AS well,
+         regexp_extract_all(E'\t' || line, '\t("(?:[^"]|"")*"|[^"\t][^\t]*|)', 1, 's') AS raw
+  FROM raw_lines),
+cells AS (SELECT line_no, line, well, list_transform(raw, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c FROM parsed)"""
+
+
+_BROKEN = r"""WHERE line IS NULL OR NOT well OR len(c) NOT IN (2, 3)
+   OR regexp_matches(c[1], '[\x{0}-\x{8}\x{A}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]') OR regexp_matches(c[2], '[\x{0}-\x{8}\x{A}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]')
+   OR regexp_full_match(c[1], '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]*') OR regexp_full_match(c[2], '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]*')
+   OR (len(c) = 3 AND lower(regexp_replace(c[3], '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g')) NOT IN ('true', 'false'))"""
+
+
+def _bare(x: str) -> str:
+    return r"regexp_replace({x}, '^[\s\v\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\v\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')".replace("{x}", x)
+
+
 def statements() -> dict[str, str]:
     traditional = "(SELECT coalesce(string_agg(traditional, '' ORDER BY traditional), '') FROM (SELECT DISTINCT traditional FROM variant_chars WHERE traditional NOT IN (SELECT simplified FROM variant_chars)))"
     to_simple = "translate({x}, (SELECT string_agg(traditional, '' ORDER BY traditional) FROM variant_chars), (SELECT string_agg(simplified, '' ORDER BY traditional) FROM variant_chars))"
@@ -227,17 +330,11 @@ SELECT name1, 'first' AS only_in FROM a WHERE name1 NOT IN (SELECT name1 FROM b)
 WITH l AS (SELECT ord, ord % 500 = 0 AS mark, 'error term ' || coalesce(name1, '-') AS line FROM scored),
 r AS (SELECT *, sum(mark::INT) OVER (ORDER BY ord)::BIGINT AS run FROM l)
 SELECT DISTINCT run, list_filter(regexp_split_to_array(trim(line, ' '), '[\s\v]+'), lambda x: true)[3] AS key FROM r WHERE NOT mark AND len(regexp_split_to_array(trim(line, ' '), '[\s\v]+')) >= 3""",
-        "p7_found": r"""
-WITH parsed AS (
-  SELECT line_no, line,
-         regexp_full_match(line, '("([^"]|"")*"|[^"\t][^\t]*|)(\t("([^"]|"")*"|[^"\t][^\t]*|))*', 's') AS well,
-         regexp_extract_all(E'\t' || line, '\t("(?:[^"]|"")*"|[^"\t][^\t]*|)', 1, 's') AS raw
-  FROM raw_lines),
-cells AS (SELECT line_no, line, well, list_transform(raw, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c FROM parsed)
-SELECT line_no, CASE WHEN line IS NULL THEN 'columns' WHEN NOT well THEN 'quoting' WHEN len(c) NOT IN (2, 3) THEN 'columns' ELSE 'value' END AS reason
-FROM cells
-WHERE line IS NULL OR NOT well OR len(c) NOT IN (2, 3)
-   OR regexp_matches(c[1], '[\x{0}-\x{8}\x{A}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]') OR regexp_matches(c[2], '[\x{0}-\x{8}\x{A}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]')
-   OR regexp_full_match(c[1], '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]*') OR regexp_full_match(c[2], '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]*')
-   OR (len(c) = 3 AND lower(regexp_replace(c[3], '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g')) NOT IN ('true', 'false'))""",
+        "p7_found": f"WITH {_CELLS} SELECT line_no, CASE WHEN line IS NULL THEN 'columns' WHEN NOT well THEN 'quoting' WHEN len(c) NOT IN (2, 3) THEN 'columns' ELSE 'value' END AS reason FROM cells {_BROKEN}",
+        "p7_clean": f"WITH {_CELLS}, bad AS (SELECT line_no FROM cells {_BROKEN}) SELECT line_no, {_bare('c[1]')} AS name1, {_bare('c[2]')} AS name2, CASE WHEN len(c) = 3 THEN lower({_bare('c[3]')}) = 'true' END AS label FROM cells WHERE line_no NOT IN (SELECT line_no FROM bad)",
+        "lev_tokens": _sounded(f" SELECT ord, round({_similar('a_s_m', 'b_s_m')}, 9) AS score FROM sounded"),
+        "mode_scores": _modes(to_simple),
+        "damerau_pairs": _damerau(),
+        "sound_character_bins": _sound_bins(),
+        "feature_ids": _features(to_simple),
     }
