@@ -98,6 +98,16 @@ keyed AS (
   FROM matches WHERE name1 IS NOT NULL AND name2 IS NOT NULL)"""
 
 
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS s FROM documents),
+w AS (SELECT item_id, lang, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\pL\pN]+', '', 'g')), lambda x: x <> '') AS words,
+             regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS s FROM test_items),
+p AS (SELECT item_id, array_to_string(words[i:i+11], '') AS pat FROM (SELECT *, unnest(generate_series(1, len(words) - 11)) AS i FROM w WHERE lang <> 'zh')
+      UNION SELECT item_id, substring(s, i, 24) FROM (SELECT *, unnest(generate_series(1, length(s) - 23)) AS i FROM w WHERE lang = 'zh')),
+leaks AS (SELECT DISTINCT d.doc_id, p.item_id FROM d JOIN p ON contains(d.s, p.pat))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     number = r"CASE WHEN regexp_full_match(trim(score, E' \t\n\r'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(score, E' \t\n\r') AS DOUBLE) END"
     return {
@@ -121,11 +131,6 @@ SELECT name, min(other) AS group_name FROM reach GROUP BY name""",
 WITH s AS (SELECT name1, ord, {number} AS v FROM predictions WHERE name1 IS NOT NULL),
 r AS (SELECT name1, ord, row_number() OVER (PARTITION BY name1 ORDER BY v DESC, ord) AS k FROM s WHERE v IS NOT NULL AND isfinite(v))
 SELECT name1, ord FROM r WHERE k <= 3""",
-        "p8_found": r"""
-WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS s FROM documents),
-w AS (SELECT item_id, lang, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\pL\pN]+', '', 'g')), lambda x: x <> '') AS words,
-             regexp_replace(lower(text), '[^\pL\pN]+', '', 'g') AS s FROM test_items),
-p AS (SELECT item_id, array_to_string(words[i:i+11], '') AS pat FROM (SELECT *, unnest(generate_series(1, len(words) - 11)) AS i FROM w WHERE lang <> 'zh')
-      UNION SELECT item_id, substring(s, i, 24) FROM (SELECT *, unnest(generate_series(1, length(s) - 23)) AS i FROM w WHERE lang = 'zh'))
-SELECT DISTINCT d.doc_id, p.item_id FROM d JOIN p ON contains(d.s, p.pat)""",
+        "p8_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+        "p8_report": _LEAKS + "SELECT i.item_id, i.split, i.lang, count(*) AS documents FROM leaks JOIN test_items i USING (item_id) GROUP BY i.item_id, i.split, i.lang",
     }
