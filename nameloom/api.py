@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nameloom.functions import script
 from nameloom.functions import similarity as sim
 from nameloom.functions.phonetics import Lexicon
-from nameloom.operators import evaluate, model, pairs, represent
+from nameloom.operators import evaluate, model, pairs, represent, scratch
 from nameloom.operators.features import FeatureConfig
 from nameloom.sources import files
 
@@ -51,10 +51,11 @@ def tune_function(df: DataFrame, base: FunctionMatcher, levels: int = 100) -> li
     """For each mode (mode, threshold, rank metrics): the threshold with the highest F1 on df (ord, name1, name2, label)."""
     out = []
     for mode in represent.MODES:
-        scored = base.with_(mode=mode).score(df).cache()
+        written = scratch.write(base.with_(mode=mode).score(df), "scored")
+        scored = written.df
         t = evaluate.threshold_search(scored, levels).where("best").first()["threshold"]
         out.append((mode, t, evaluate.rank_eval(scored).first().asDict()))
-        scored.unpersist()
+        written.drop()
     return out
 
 
@@ -66,14 +67,13 @@ def load_input(spark: SparkSession, path: str, kind: str, variants: DataFrame |
         raise ValueError("kind must be paired or raw")
     raw = files.read_raw(spark, path)
     raw = pairs.orient(raw, pairs.traditional_only(variants)) if variants is not None else raw
-    made = pairs.confused_pairs(pairs.dedup_consecutive(raw, F.col("ord")))
-    files.write_pairs(made, f"{path}.paired")
-    return made
+    files.write_pairs(pairs.confused_pairs(pairs.dedup_consecutive(raw, F.col("ord"))), f"{path}.paired")
+    return files.read_pairs(spark, f"{path}.paired")
 
 
 def score_file(spark: SparkSession, path: str, matcher, kind: str = "paired", out: str | None = None, variants: DataFrame | None = None) -> dict | None:
     """Scores a file, writes predictions to `out`, and returns rank metrics if any row has a label."""
-    scored = matcher.score(load_input(spark, path, kind, variants)).cache()
+    scored = scratch.write(matcher.score(load_input(spark, path, kind, variants)), "scored").df
     if out:
         files.write_predictions(scored, out)
     labelled = not scored.where("label is not null").isEmpty()
@@ -88,20 +88,30 @@ def train(df: DataFrame, dev: DataFrame | None, matcher: model.NameMatcher, tune
         have = matcher.features_of(df).where(F.size("features") > 0)
         _, (penalty, weight), _ = model.search(have, matcher.features_of(dev), matcher.size, model.grid(penalty))
     matcher.train(df, penalty, weight)
-    scored = matcher.score(dev).cache()
+    scored = scratch.write(matcher.score(dev), "scored").df
     if select_threshold:
         matcher.threshold = evaluate.threshold_search(scored, levels).where("best").first()["threshold"]
     return {"penalty": penalty, "weight": weight, "threshold": matcher.threshold, "dev": evaluate.rank_eval(scored).first().asDict()}
 
 
-def preprocess(spark: SparkSession, path: str, fold: int = 5, simplify: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Noise filter and split of a raw file, each part with confusing negatives, written as `.filtered.<part>.paired`."""
-    rows = pairs.noise_filter(files.read_raw(spark, path), simplify=lambda c: script.convert(c, simplify or {}))
-    split = pairs.modulo_split(rows, F.col("ord"), fold=fold)
+def preprocess(spark: SparkSession, path: str, fold: int = 5, simplify: dict[str, str] | None = None, variants: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Noise filter and split of a raw file, each part oriented, deduplicated and given confusing negatives, written as `.filtered.<part>.paired`.
+
+    The filter looks at the fields between tabs and leaves out lines with more than
+    two; the names of what is left stand between any white space, as in raw files.
+    """
+    lines = files.read_lines(spark, path)
+    field = F.split(F.trim("line"), "\t")
+    one, two = F.get(field, F.lit(0)), F.get(field, F.lit(1))
+    noise = lambda c: pairs.is_noise(c, script.convert(c, simplify or {}))
+    kept = lines.where(F.size(field) <= 2).withColumns({"_1": one, "_2": two}).where(~noise(F.col("_1")) & (F.col("_2").isNull() | ~noise(F.col("_2")))).select("line", "ord")
+    split = scratch.write(pairs.modulo_split(kept, F.col("ord"), fold=fold), "split").df
+    characters = "" if variants is None else pairs.traditional_only(variants)
     out = {}
     for part in ("train", "dev", "test"):
-        out[part] = pairs.confused_pairs(split.where(F.col("fold_split") == part))
-        files.write_pairs(out[part], f"{path}.filtered.{part}.paired")
+        rows = pairs.orient(files.parse_raw(split.where(F.col("fold_split") == part).select("line", "ord")), characters)
+        files.write_pairs(pairs.confused_pairs(pairs.dedup_consecutive(rows, F.col("ord"))), f"{path}.filtered.{part}.paired")
+        out[part] = files.read_pairs(spark, f"{path}.filtered.{part}.paired")
     return out
 
 

@@ -20,6 +20,8 @@ NOISE_PARTS = ["维基", "慰安妇"]
 NEGATIVES = 10
 #: Most targets of a block that is sent to all rows instead of meeting them by a shuffle.
 SENT_TARGETS = 1000
+#: Rows of a block that meets another whole.
+BLOCK = 5_000
 # Steps of the random draw; those that divide the number of rows are not used.
 _STEPS = [7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823]
 
@@ -44,10 +46,6 @@ def orient(df: DataFrame, characters: str) -> DataFrame:
     return df.withColumns({"name1": F.when(swap, F.col("name2")).otherwise(F.col("name1")), "name2": F.when(swap, F.col("name1")).otherwise(F.col("name2"))})
 
 
-def remove_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s", "")
-
-
 def dedup_consecutive(df: DataFrame, *order: Column, name: str = "name1") -> DataFrame:
     """df without rows whose name equals that of the row before in the order; a null equals nothing."""
     return ordered.previous(df, name, *order, name="_before").where(F.col("_before").isNull() | F.col(name).isNull() | (F.col("_before") != F.col(name))).drop("_before")
@@ -92,17 +90,23 @@ def marker_groups(df: DataFrame, marker: str, *order: Column) -> DataFrame:
     return ordered.running_sum(df.withColumn("_m", F.coalesce(F.col(marker), F.lit(False)).cast("int")), "_m", *order, name="group_id").drop("_m")
 
 
-def all_pairs(df: DataFrame, limit: int = 10_000) -> DataFrame:
+def all_pairs(df: DataFrame, limit: int | None = 10_000) -> DataFrame:
     """Every source with every target: (ord, name1, name2, label, target_ord), label true for its own.
 
-    The result has n*n rows, so df is bounded by `limit`; for more use confused or
-    random negatives. Order: by ord, own target first, then target_ord.
+    The result has n*n rows, so more rows than `limit` are refused unless it is
+    None. Sources and targets meet block by block: each is dealt to blocks of about
+    BLOCK rows by a hash of ord, and copied once for each block of the other side.
+    Rows with a null ord are left out. Order: by ord, own target first, then target_ord.
     """
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{n} rows would give {n * n} pairs; all_pairs takes at most {limit} rows")
-    targets = F.broadcast(df.select(F.lit(0).alias("_k"), F.col("ord").alias("target_ord"), F.col("name2").alias("name2")))
-    return df.select(F.lit(0).alias("_k"), "ord", "name1").join(targets, "_k").select("ord", "name1", "name2", (F.col("ord") == F.col("target_ord")).alias("label"), "target_ord")
+    rows = df.where("ord is not null")
+    n = rows.count()
+    if limit is not None and n > limit:
+        raise ValueError(f"{n} rows would give {n * n} pairs; give limit=None for more than {limit} rows")
+    blocks = F.lit(n // BLOCK + 1)
+    mine, other = F.pmod(F.xxhash64("ord"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
+    sources = rows.select("ord", "name1", mine.alias("_s"), other.alias("_t"))
+    targets = rows.select(F.col("ord").alias("target_ord"), "name2", mine.alias("_t"), other.alias("_s"))
+    return sources.join(targets.hint("merge"), ["_s", "_t"]).select("ord", "name1", "name2", (F.col("ord") == F.col("target_ord")).alias("label"), "target_ord")
 
 
 def _draws(index: Column, n: int, count: int, seed: int) -> Column:
