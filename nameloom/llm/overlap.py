@@ -66,11 +66,11 @@ def shingle_size(length: Column) -> Column:
 
 
 def _shingles(text: Column, q: Column) -> Column:
-    """[(position, shingle)] of the padded text."""
+    """[(position, shingle)] of the padded text, shingles as 64-bit hashes with their size: two that fall together only add a candidate."""
     pad = F.repeat(F.lit("\x02"), q - 1)
     padded = F.concat(pad, text, F.repeat(F.lit("\x03"), q - 1))
     n = F.length(text) + q - 1
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.substring(padded, i, q).alias("gram")))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.substring(padded, i, q), q).alias("gram")))
 
 
 def _classes(records: DataFrame, label: str) -> scratch.Table:
@@ -99,17 +99,21 @@ def near_classes(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, Da
     eg = _grams(both.withColumn("row", F.monotonically_increasing_id()).withColumn("q", F.explode(sizes)), "row", "id", "len")
     tg = _grams(t.df.withColumn("q", q), "id", "len")
     # one order of shingles for both sides: by how many training records hold them, then by the shingle
-    frequency = scratch.write(tg.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n")), "shingles").df
-    tp = scratch.write(_prefix(tg, frequency, "id", "len"), "train-prefixes").df.toDF("tid", "tlen", "q", "gram", "tpos")
-    ep = scratch.write(_prefix(eg, frequency, "row", "id", "len").drop("row"), "eval-prefixes").df.toDF("eid", "elen", "q", "gram", "epos")
+    frequency = scratch.write(tg.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "shingles").df
+    ep = scratch.write(_prefix(eg, frequency, "row", "id", "len").drop("row", "q"), "eval-prefixes")
+    tp = scratch.write(_prefix(tg, frequency, "id", "len").drop("q"), "train-prefixes")
     near = (F.abs(F.col("tpos") - F.col("epos")) <= EDITS) & (F.abs(F.col("tlen") - F.col("elen")) <= EDITS)
-    found = tp.join(ep, ["q", "gram"]).where(near).select("tid", "eid")
+    probe, index = tp.df.toDF("tid", "tlen", "gram", "tpos"), ep.df.toDF("eid", "elen", "gram", "epos")
+    found = salted_join(probe, index, "gram", tp.stats["rows"], F.col("tid")).where(near).select("tid", "eid")
     # texts too short for a prefix, and all partners they can have
-    short = t.df.where(q == 0).select(F.col("id").alias("tid"), F.explode(_deletions(F.col("text"), EDITS)).alias("rest"))
+    rests = lambda i: (F.col("id").alias(i), F.explode(F.transform(_deletions(F.col("text"), EDITS), lambda x: F.xxhash64(x))).alias("rest"))
+    short = scratch.write(t.df.where(q == 0).select(*rests("tid")), "train-rests")
     longest = EDITS + 2 + (EDITS - 1) - 1
-    partner = both.where(F.col("len") <= longest + EDITS).select(F.col("id").alias("eid"), F.explode(_deletions(F.col("text"), EDITS)).alias("rest")).distinct()
-    pairs = found.union(short.join(partner, "rest").select("tid", "eid")).distinct()
-    cand = pairs.join(t.df.select(F.col("id").alias("tid"), "a", "b"), "tid").join(e.df.select(F.col("id").alias("eid"), F.col("a").alias("c"), F.col("b").alias("d")), "eid")
+    partner = both.where(F.col("len") <= longest + EDITS).select(*rests("eid")).distinct()
+    pairs = scratch.write(found.union(salted_join(short.df, partner, "rest", short.stats["rows"], F.col("tid")).select("tid", "eid")).distinct(), "candidates")
+    n = pairs.stats["rows"]
+    cand = salted_join(pairs.df, t.df.select(F.col("id").alias("tid"), "a", "b"), "tid", n, F.col("eid"))
+    cand = salted_join(cand, e.df.select(F.col("id").alias("eid"), F.col("a").alias("c"), F.col("b").alias("d")), "eid", n, F.col("tid"))
     straight = F.levenshtein("a", "c", EDITS), F.levenshtein("b", "d", EDITS)
     crossed = F.levenshtein("a", "d", EDITS), F.levenshtein("b", "c", EDITS)
     close = [(x >= 0) & (y >= 0) & (x + y <= EDITS) for x, y in (straight, crossed)]
@@ -130,7 +134,7 @@ def _prefix(grams: DataFrame, frequency: DataFrame, *owner: str) -> DataFrame:
     they never leave the join, and their number, which follows from the length,
     takes as many places of the prefix.
     """
-    ranked = grams.join(frequency, ["q", "gram"])
+    ranked = grams.join(frequency.hint("merge"), "gram")  # the exploded side is never the one to broadcast; skewed shingles are split at run time
     lists = ranked.groupBy(*owner, "q").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "pos"))).alias("all"))
     absent = F.col("len") + F.col("q") - 1 - F.size("all")
     rare = F.slice("all", F.lit(1), F.greatest(F.col("q") * EDITS + 1 - absent, F.lit(0)))
@@ -145,12 +149,12 @@ def cross_split(df: DataFrame, variants: DataFrame) -> DataFrame:
     dropped counts as empty text and is compared as such. Repeated rows count each.
     """
     rows = df.select("ord", "name1", "name2", "split").where("name1 <> '' and name2 <> '' and ord is not null and split in ('train', 'dev', 'test')")
-    base = scratch.write(rows.select("ord", "split", plain(F.col("name1"), variants).alias("a"), plain(F.col("name2"), variants).alias("b")), "plain").df
+    base = scratch.write(rows.select("ord", "split", plain(F.col("name1"), variants).alias("a"), plain(F.col("name2"), variants).alias("b")), "plain")
+    base, total = base.df, base.stats["rows"]
     train, evaluation = base.where("split = 'train'"), base.where("split <> 'train'")
     with scratch.scope():
         t, e, links = near_classes(train, evaluation)
     # a record may stand in any number of rows: both sides are split where it is hot
-    total = base.count()
     key = F.md5(F.concat_ws(SEP, "a", "b"))
     hit_t, hit_e = t.join(links.select(F.col("tid").alias("id")).distinct(), "id", "left_semi"), e.join(links.select(F.col("eid").alias("id")).distinct(), "id", "left_semi")
     trows = salted_join(train.select(key.alias("key"), F.col("ord").alias("train_ord")), hit_t.select(key.alias("key"), F.col("id").alias("tid")), "key", total, F.col("train_ord")).select("tid", "train_ord")

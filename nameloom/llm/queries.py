@@ -48,6 +48,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.same_looking(_table(spark, sf_dir, "pairs"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual.look_classes(_table(spark, sf_dir, "pairs"))
+
+
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _table(spark, sf_dir, "pairs").select("ord", "name1", "name2")
     return visual.repair(pairs, ["name1", "name2"], "ord").select("ord", "name1_form", "name2_form")
@@ -86,7 +90,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p1_records p2_found p2_report p3_found p4_found p4_groups p5_found p5_forms p6_found p8_found p8_report p9_mix p9_shares p10_found p10_stats".split()
+    names = "p1_found p1_records p2_found p2_report p3_found p4_found p4_groups p5_found p5_classes p5_forms p6_found p8_found p8_report p9_mix p9_shares p10_found p10_stats".split()
     return {n: globals()[n] for n in names}
 
 

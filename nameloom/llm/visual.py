@@ -139,51 +139,73 @@ def _pieces(c: Column) -> Column:
 def repair(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """df with `<column>_form` for each of `columns`: the consistent form of its text.
 
-    key: a column that tells the rows apart. Null stays null, empty stays empty.
+    key: a column that tells most rows apart, by which a hot text is split. Null stays null, empty stays empty.
     The vocabulary holds every token of these columns that has no letter of
     Greek or Cyrillic drawn like a Latin one, and every repair that two different
     spellings share. Only rows with such letters are taken apart; the others pass
     as composed. Where no repair stands in the vocabulary the token stays.
     """
     fix = _map(compose)
-    composed = df.withColumns({f"{c}_form": fix(F.col(c)) for c in columns})
-    base = scratch.write(composed, "composed").df
-    texts = base.select(F.explode(F.array(*(F.col(f"{c}_form") for c in columns))).alias("t")).where("t is not null").distinct()
+    base = scratch.write(df.withColumns({f"{c}_form": fix(F.col(c)) for c in columns}), "composed").df
+    # most texts have no letter of an alphabet and take no part in what follows
+    every = base.select(F.explode(F.array(*(F.col(f"{c}_form") for c in columns))).alias("t")).where(F.col("t").rlike(_TOKEN)).distinct()
+    texts = scratch.write(every, "texts").df
     odd = texts.where(F.col("t").rlike(_FOREIGN))
     tokens = odd.select(F.explode(F.regexp_extract_all("t", F.lit(f"({_TOKEN})"), F.lit(1))).alias("token")).distinct()
     options = F.pandas_udf(lambda s: s.map(candidates), T.ArrayType(T.StringType()))
-    tried = tokens.select("token", F.posexplode(options("token")).alias("rank", "word"))
-    clean = texts.select(F.explode(F.regexp_extract_all("t", F.lit(f"({_TOKEN})"), F.lit(1))).alias("word")).distinct()
-    clean = clean.join(tried.select(F.col("token").alias("word")).distinct(), "word", "left_anti").select("word")
+    tried = scratch.write(tokens.select("token", F.posexplode(options("token")).alias("rank", "word")), "tried").df
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(f"({_TOKEN})"), F.lit(1))).alias("word")).distinct()
+    clean = words.join(tried.select(F.col("token").alias("word")).distinct().hint("merge"), "word", "left_anti")
     shared = tried.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
-    known = tried.join(clean.union(shared).distinct(), "word", "left_semi")
+    known = tried.join(clean.union(shared).distinct().hint("merge"), "word", "left_semi")
     fixes = known.groupBy("token").agg(F.min(F.struct("rank", "word")).alias("best")).select("token", F.col("best.word").alias("word"))
-    parts = odd.select("t", F.posexplode(_pieces(F.col("t"))).alias("i", "token"))
-    whole = parts.join(fixes, "token", "left").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "token").alias("w")))).alias("ws"))
+    parts = scratch.write(odd.select("t", F.posexplode(_pieces(F.col("t"))).alias("i", "token")), "pieces")
+    placed = salted_join(parts.df, fixes, "token", parts.stats["rows"], F.xxhash64("t", "i"), "left")
+    whole = placed.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "token").alias("w")))).alias("ws"))
     mended = scratch.write(whole.select("t", F.array_join(F.transform("ws", lambda x: x["w"]), "").alias("mended")).where("t <> mended"), "mended").df
-    out = base
+    # rows with foreign letters meet their repaired texts; all others keep out of the joins
+    foreign = F.lit(False)
     for c in columns:
-        # rows with foreign letters meet their repaired text; all others keep out of the join
-        rows = out.where(F.coalesce(F.col(f"{c}_form").rlike(_FOREIGN), F.lit(False)))
-        rest = out.where(~F.coalesce(F.col(f"{c}_form").rlike(_FOREIGN), F.lit(False)))
-        done = rows.join(mended.select(F.col("t").alias(f"{c}_form"), F.col("mended").alias("_m")), f"{c}_form", "left").withColumn(f"{c}_form", F.coalesce("_m", f"{c}_form")).select(*out.columns)
-        out = rest.unionByName(done)
-    return out
+        foreign = foreign | F.coalesce(F.col(f"{c}_form").rlike(_FOREIGN), F.lit(False))
+    rows = scratch.write(base.where(foreign), "foreign")
+    done = rows.df
+    for c in columns:
+        done = salted_join(done, mended.select(F.col("t").alias(f"{c}_form"), F.col("mended").alias("_m")), f"{c}_form", rows.stats["rows"], F.xxhash64(key), "left")
+        done = done.withColumn(f"{c}_form", F.coalesce("_m", f"{c}_form")).select(*base.columns)
+    return base.where(~foreign).unionByName(done)
+
+
+def looks(df: DataFrame) -> scratch.Table:
+    """(ord, form, spelling) of the rows of df (ord, name1, name2) with both names: what they look like and how they are written, as 128-bit keys."""
+    rows = df.select("ord", "name1", "name2").where("name1 <> '' and name2 <> '' and ord is not null")
+    with scratch.scope():
+        formed = repair(rows, ["name1", "name2"], "ord")
+        digest = lambda a, b: F.unhex(F.md5(F.concat_ws("\x00", a, b)))
+        return scratch.write(formed.select("ord", digest("name1_form", "name2_form").alias("form"), digest("name1", "name2").alias("spelling")), "looks").keep()
+
+
+def look_classes(df: DataFrame) -> DataFrame:
+    """(ord, first_ord, links): every row that looks like rows written in another way, with the smallest ord of all that look like it and the number of those written in another way."""
+    keyed = looks(df)
+    spelled = scratch.write(keyed.df.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")), "spellings")
+    every = spelled.df.groupBy("form").agg(F.sum("n").alias("of"), F.min("first").alias("first_ord"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    classes = salted_join(spelled.df, every, "form", spelled.stats["rows"], F.col("first")).select("spelling", "first_ord", (F.col("of") - F.col("n")).alias("links"))
+    return salted_join(keyed.df, classes, "spelling", keyed.stats["rows"], F.col("ord")).select("ord", "first_ord", "links")
 
 
 def same_looking(df: DataFrame) -> DataFrame:
     """(ord_a, ord_b), ord_a < ord_b: rows of df (ord, name1, name2) that look the same in both names but differ in code points.
 
-    Rows with a null or empty name are left out. Rows written alike are one class
-    each and the classes of a form are told apart by number, so nothing compares
-    rows within a class; every pair of two classes of one form is a result.
+    Rows with a null or empty name are left out. Rows written alike are one class;
+    pairs of classes of one form are expanded to rows, so nothing compares rows
+    within a class. `look_classes` gives the same as one row for each row.
     """
-    rows = df.select("ord", "name1", "name2").where("name1 <> '' and name2 <> '' and ord is not null")
-    formed = repair(rows, ["name1", "name2"], "ord")
-    keyed = formed.select("ord", F.md5(F.concat_ws("\x00", "name1_form", "name2_form")).alias("form"), F.md5(F.concat_ws("\x00", "name1", "name2")).alias("spelling"))
-    several = keyed.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
-    total = rows.count()
-    live = scratch.write(salted_join(keyed, several, "form", total, F.col("ord"), "left_semi"), "forms").df
-    a = live.select(F.col("ord").alias("ord_a"), "form", F.col("spelling").alias("sa"))
-    b = live.select(F.col("ord").alias("ord_b"), "form", F.col("spelling").alias("sb"))
-    return salted_join(a, b, "form", total, F.col("ord_a")).where("ord_a < ord_b and sa <> sb").select("ord_a", "ord_b")
+    keyed = looks(df)
+    classes = keyed.df.select("form", "spelling").distinct()
+    several = keyed.df.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
+    live = scratch.write(classes.join(several.hint("merge"), "form", "left_semi"), "spellings")
+    two = salted_join(live.df.toDF("form", "sa"), live.df.toDF("form", "sb"), "form", live.stats["rows"], F.col("sa")).where("sa < sb").select("sa", "sb")
+    total = keyed.stats["rows"]
+    a = salted_join(keyed.df.select(F.col("ord").alias("oa"), F.col("spelling").alias("sa")), two, "sa", total, F.col("oa")).select("oa", "sb")
+    b = salted_join(keyed.df.select(F.col("ord").alias("ob"), F.col("spelling").alias("sb")), a, "sb", total, F.col("ob"))
+    return b.where("oa <> ob").select(F.least("oa", "ob").alias("ord_a"), F.greatest("oa", "ob").alias("ord_b"))
