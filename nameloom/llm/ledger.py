@@ -36,6 +36,11 @@ def record_key(name1: Column, name2: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), key)  # least and greatest pass over nulls
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """(key, first) of the rows of df (ord, name1, name2): the record's key and the row itself. Rows with a null name or ord are no records and are left out."""
+    return df.select(record_key(F.col("name1"), F.col("name2")).alias("key"), F.struct("ord", "name1", "name2").alias("first")).where("key is not null and first.ord is not null")
+
+
 class CopyLedger:
     """The ledger at `path`. buckets: fixed at creation; a bucket should fit a task (thousands for billions of records)."""
 
@@ -55,9 +60,12 @@ class CopyLedger:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def update(self, batch: DataFrame) -> None:
-        """Adds a batch with columns ord, name1, name2. Rows with a null name or ord are no records and are left out."""
-        keyed = batch.select(record_key(F.col("name1"), F.col("name2")).alias("key"), F.struct("ord", "name1", "name2").alias("first")).where("key is not null and first.ord is not null")
-        counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        """Adds a batch with columns ord, name1, name2."""
+        self.add(keyed(batch))
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds a batch of rows that `keyed` gave."""
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
         counted = counted.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
         new = scratch.write(counted, "ledger-batch")
         touched = [r.bucket for r in new.df.select("bucket").distinct().collect()]  # at most `buckets` numbers
@@ -81,18 +89,28 @@ class CopyLedger:
 
 def build_ledger(df: DataFrame, batches: int = 3, buckets: int = 32, path: str | None = None) -> CopyLedger:
     """A ledger of df (ord, name1, name2), fed in `batches` ranges of ord as they would arrive."""
-    spark = df.sparkSession
+    return _build(scratch.write(keyed(df), "keyed").df, batches, buckets, path)
+
+
+def _build(rows: DataFrame, batches: int = 3, buckets: int = 32, path: str | None = None) -> CopyLedger:
+    spark = rows.sparkSession
     ledger = CopyLedger(spark, path or scratch.new_path(spark, "ledger"), buckets)
-    low, high = df.agg(F.min("ord"), F.max("ord")).first()
+    low, high = rows.agg(F.min("first.ord"), F.max("first.ord")).first()
     if low is None:
         return ledger
     cuts = [low + (high - low + 1) * i // batches for i in range(batches + 1)]
     for a, b in zip(cuts, cuts[1:]):
-        ledger.update(df.where((F.col("ord") >= a) & (F.col("ord") < b)))
+        ledger.add(rows.where((F.col("first.ord") >= a) & (F.col("first.ord") < b)))
     ledger.vacuum()
     return ledger
 
 
+def found_copies(df: DataFrame) -> DataFrame:
+    """(first_ord, copy_ord) of df (ord, name1, name2): the ledger is fed with it, then every row meets the ledger. The keys are made once."""
+    rows = scratch.write(keyed(df), "keyed")
+    return _copies(rows.df, rows.stats["rows"], _build(rows.df))
+
+
 def records(ledger: CopyLedger) -> DataFrame:
     """(first_ord, name1, name2, copies): one row for each record, with its earliest row as written."""
     return ledger.state().select(F.col("first.ord").alias("first_ord"), "first.name1", "first.name2", F.col("n").alias("copies"))
@@ -104,7 +122,10 @@ def copies(df: DataFrame, ledger: CopyLedger) -> DataFrame:
     Nulls in a name: no row. Empty names are names. Repeated ords are one row each.
     A record with a third of all copies is split by salted_join.
     """
-    rows = df.select(record_key(F.col("name1"), F.col("name2")).alias("key"), F.col("ord").alias("copy_ord")).where("key is not null")
-    total = df.count()
+    return _copies(keyed(df), df.count(), ledger)
+
+
+def _copies(rows: DataFrame, total: int, ledger: CopyLedger) -> DataFrame:
+    mine = rows.select("key", F.col("first.ord").alias("copy_ord"))
     several = ledger.state().where("n > 1").select("key", F.col("first.ord").alias("first_ord"))
-    return salted_join(rows, several, "key", total, F.col("copy_ord")).where("copy_ord <> first_ord").select("first_ord", "copy_ord")
+    return salted_join(mine, several, "key", total, F.col("copy_ord")).where("copy_ord <> first_ord").select("first_ord", "copy_ord")

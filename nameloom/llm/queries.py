@@ -16,8 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = _table(spark, sf_dir, "matches")
-    return ledger.copies(matches, ledger.build_ledger(matches))
+    return ledger.found_copies(_table(spark, sf_dir, "matches"))
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
