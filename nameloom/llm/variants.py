@@ -81,7 +81,7 @@ class Reader:
 
     def clean(self, text: str) -> str:
         """One width, script form and case; Latin words that are joined by hyphens or capitals set apart."""
-        s = unicodedata.normalize("NFKC", text).translate(self.simple)
+        s = (text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).translate(self.simple)
         return _JOINED.sub(" ", s if s.isupper() else _CAMEL.sub(" ", s)).lower()
 
     def sound(self, unit: str) -> str:
@@ -108,7 +108,9 @@ class Reader:
 
     def tokens(self, text: str, gaps: bool = False) -> list[tuple[str, ...]]:
         """The tokens of a field as units as written. White space between Han characters divides tokens only with `gaps`."""
-        s = self.clean(text)
+        return self._cut(self.clean(text), gaps)
+
+    def _cut(self, s: str, gaps: bool) -> list[tuple[str, ...]]:
         if gaps:
             s = _GAP.sub(",", s)
         if self.form:
@@ -133,23 +135,31 @@ class Reader:
 
     def names(self, a: str, b: str) -> tuple[bool, list[list[tuple[str, ...]]]]:
         """(both, names): the names that stand for a row, as tokens; both: they are of the two fields together."""
-        ta, tb = self.tokens(a), self.tokens(b)
+        a, b = self.clean(a), self.clean(b)
+        ta, tb = self._cut(a, False), self._cut(b, False)
         if self.agree(ta, tb):
-            every = [[t for t in x if len("".join(t)) > 1] for x in (ta, tb, self.tokens(a, True), self.tokens(b, True))]
+            gaps = [self._cut(x, True) if _GAP.search(x) else t for x, t in ((a, ta), (b, tb))]
+            every = [[t for t in x if len(t) > 1 or len(t[0]) > 1] for x in (ta, tb, *gaps)]
             full = [x for x in every if len(x) > 1]
             if full:
                 return False, full
         return True, [ta + [t for t in tb if t not in ta]]
 
-    def matched(self, x: tuple[str, ...], y: tuple[str, ...]) -> int:
+    def matched(self, x: list[str], y: list[str]) -> int:
         """How many units of x have a partner in y: of equal sound, an initial, or a word with a slip; in any order, so abbreviations match whole. A doubled unit, as in nicknames, needs only one."""
-        rest, n = list(map(self.sound, y)), 0
+        rest, n = list(y), 0
         once = len(set(x)) == 1
-        for u in map(self.sound, x):
-            near = u if u in rest else next((r for r in rest if (len(u) == 1 and u.isascii() and r.startswith(u)) or (len(u) >= SLIP_LETTERS and u not in self.syllables and _one_edit(u, r))), None)
-            n += near is not None
-            if near is not None and not once:
-                rest.remove(near)
+        for u in x:
+            if u in rest:
+                near = u
+            elif u[0] > "\u02ff":
+                continue  # a Han character without a reading
+            else:
+                near = next((r for r in rest if (len(u) == 1 and r.startswith(u)) or (len(u) >= SLIP_LETTERS and u not in self.syllables and _one_edit(u, r))), None)
+            if near is not None:
+                n += 1
+                if not once:
+                    rest.remove(near)
         return n
 
     def agree(self, a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> bool:
@@ -158,22 +168,31 @@ class Reader:
             return True
         if sum(map(len, a)) > sum(map(len, b)):
             a, b = b, a
+        a, b = [list(map(self.sound, t)) for t in a], [list(map(self.sound, t)) for t in b]
         wanted = SHARED * sum(map(len, a))
-        # what all tokens as one give is never less than the best assignment, what any assignment gives never more
-        if self.matched(tuple(u for t in a for u in t), tuple(u for t in b for u in t)) < wanted and all(len(set(t)) > 1 or len(t) == 1 for t in a):
-            return False
-        gain = np.array([[self.matched(x, y) for y in b] for x in a])
-        free, got = np.ones(len(b), bool), 0
+        gain = [[self.matched(x, y) for y in b] for x in a]
+        # any assignment gives at most as much as the best one, and the best one at most what each token gets alone
+        taken, got = set(), 0
         for row in gain:
-            j = int(np.argmax(np.where(free, row, -1)))
-            got += row[j] if free[j] else 0
-            free[j] = False
-        return got >= wanted or sum(gain[i, j] for i, j in solve(-gain.astype(float))) >= wanted
+            j = max((j for j in range(len(b)) if j not in taken), key=row.__getitem__, default=None)
+            if j is not None:
+                got += row[j]
+                taken.add(j)
+        if got >= wanted or sum(map(max, gain)) < wanted:
+            return got >= wanted
+        cost = -np.array(gain, float)
+        return -sum(cost[p] for p in solve(cost)) >= wanted
 
 
 def alike(a: str, b: str) -> bool:
     """Whether two names (tokens and units in text form) differ in at most OTHER kinds of written units under the best assignment of their tokens."""
-    x, y = ([frozenset(t.split(UNIT)) for t in n.split(TOKEN)] for n in (a, b))
+    p, q = a.split(TOKEN), b.split(TOKEN)
+    if len(p) == len(q) == len(set(p)) == len(set(q)):
+        s, t = set(p) - set(q), set(q) - set(p)
+        if not s or len(s) == 1 < len(p):  # the other tokens are written alike
+            s, t = set(UNIT.join(s).split(UNIT)), set(UNIT.join(t).split(UNIT))
+            return max(len(s - t), len(t - s)) <= OTHER
+    x, y = ([frozenset(t.split(UNIT)) for t in n] for n in (p, q))
     left, right = list((Counter(x) - Counter(y)).elements()), list((Counter(y) - Counter(x)).elements())
     if max(len(left), len(right)) > OTHER + 1:
         return False  # each of these costs one at least
@@ -225,7 +244,7 @@ def row_names(df: DataFrame, readings: DataFrame, variants: DataFrame) -> DataFr
             out = []
             for o, x, y in zip(b.ord, b.name1, b.name2):
                 both, names = reader.names(x, y)
-                for n in names:
+                for n in (n for k, n in enumerate(names) if n not in names[:k]):
                     parts = sorted(reader.letters(t) for t in n) or [(x,), (y,)]
                     out.append((o, both, TOKEN.join(map(UNIT.join, parts)), TOKEN.join(UNIT.join(map(reader.sound, t)) for t in parts)))
             yield pd.DataFrame(list(dict.fromkeys(out)), columns=["ord", "both", "name", "said"])
