@@ -301,3 +301,31 @@ def test_scope_drops_tables(spark):
     with scratch.scope():
         a, b = scratch.write(spark.range(3), "a"), scratch.write(spark.range(3), "b").keep()
     assert a.dropped and not b.dropped and b.df.count() == 3
+
+
+def test_assignments_at_once_are_those_one_by_one():
+    import numpy as np
+
+    from nameloom.operators import assign
+
+    draw = np.random.default_rng(3)
+    rows = draw.integers(0, 7, 200)
+    columns = np.array([draw.integers(n, 9) for n in rows])
+    cost = np.full((200, 6, 8), np.inf)
+    for c, n, m in zip(cost, rows, columns):
+        c[:n, :m] = 1.0 - (1.0 - draw.integers(0, 6, (n, m)) / draw.choice([3.0, 5.0], (n, m)))
+    got = assign.solve_all(cost, rows)
+    assert [sorted((int(i), j) for j, i in enumerate(g) if i >= 0) for g in got] == [assign.solve(c[:n, :m]) for c, n, m in zip(cost, rows, columns)]
+
+
+def test_align_cost_is_fast(spark, tmp_path):
+    """Solved one by one 12,000 rows of such names take half a minute and more of one core."""
+    import time
+
+    from nameloom.operators import batches
+
+    texts = ["".join(chr(0x4E00 + (i * 7 + k * 31) % 97) for k in range(9)) + " Li" * (i % 2) for i in range(12_000)]
+    began = time.process_time()
+    totals = batches.align_totals(texts, texts[1:] + texts[:1])
+    assert time.process_time() - began < 20 and len(totals) == 12_000 and totals.min() > 0
+    assert batches.align_totals(["ab", "", "a b", "--"], ["ab", "x", "a b", "--"]).tolist() == [0.0, 0.0, 0.0, 0.0]
