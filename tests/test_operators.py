@@ -329,3 +329,27 @@ def test_align_cost_is_fast(spark, tmp_path):
     totals = batches.align_totals(texts, texts[1:] + texts[:1])
     assert time.process_time() - began < 20 and len(totals) == 12_000 and totals.min() > 0
     assert batches.align_totals(["ab", "", "a b", "--"], ["ab", "x", "a b", "--"]).tolist() == [0.0, 0.0, 0.0, 0.0]
+
+
+ODD = [(0, "张三", "张山", True), (1, "张三", "李四-", False), (2, "张三 四", "张山 -", None), (3, "-三", "三", True), (4, "三", "-三", True), (4, "王五", "李四", True), (5, "王三", None, True), (None, "张三", "张山", True), (6, "xyz", "张", True), (7, "", "王", True), (8, "張三" * 30, "张三山", None)]
+ODD_LEXICON = [(c, s, None) for c, s in (("张", "zhang1"), ("張", "zhang1"), ("三", "san1"), ("山", "shan1"), ("李", "li3"), ("四", "si4"), ("王", "wang2"), ("五", "wu3"))]
+
+
+@pytest.mark.parametrize("align", [False, True])
+def test_features_in_arrays_are_those_of_expressions(spark, align, monkeypatch):
+    """Dictionary and ids equal those of the expressions, and no row of a gram pair is joined or moved, however large the dictionary."""
+    from nameloom.operators import represent
+
+    df = spark.createDataFrame(ODD, "ord bigint, name1 string, name2 string, label boolean")
+    lx, simple, known = Lexicon(ODD_LEXICON), {"張": "张"}, ["张", "王"]
+    m = model.NameMatcher(features.FeatureConfig(17, align), lx, simple, known)
+    m.learn(df)
+    rows = scratch.write(represent.represent(df, lx, simple), "rows").df
+    rows = rows.where(represent.has_sounds(rows))
+    want = features.pair_dictionary(rows, m.config)
+    assert sorted((r.pair, r.cnt, r.id) for r in m.dictionary.collect()) == sorted((r.pair, r.cnt, r.id) for r in want.collect())
+    found = {r.ord: r.features for r in features.extract(rows, "ord", m.config, known, want).collect() if r.ord is not None}
+    assert sorted((str(r.ord), r.features) for r in m.features_of(df).collect()) == sorted((str(o), found.get(o, [])) for o, *_ in ODD)
+    monkeypatch.setattr(features, "SENT_ENTRIES", 0)
+    plan = m.features_of(df.where("ord <> 4"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange") == 1
