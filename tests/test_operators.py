@@ -353,3 +353,63 @@ def test_features_in_arrays_are_those_of_expressions(spark, align, monkeypatch):
     monkeypatch.setattr(features, "SENT_ENTRIES", 0)
     plan = m.features_of(df.where("ord <> 4"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange") == 1
+
+
+def drawn_rows(count, size, seed=5):
+    """(label, features) with columns that stand in the same rows."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    rows = []
+    for i in range(count):
+        label = bool(draw.random() < 0.3)
+        ids = set((draw.integers(1, size // 2, 6) + (size // 4 if label else 0)).tolist()) | {size - 1, size}
+        rows.append((label, sorted(ids)))
+    return rows
+
+
+def test_fit_reaches_the_minimum(spark):
+    """The objective of the model, from its weights and the rows, is no worse than that of Spark's own classifier, for easy and hard penalties."""
+    import numpy as np
+
+    rows = drawn_rows(300, 80)
+    kept = model.TrainingRows.of(spark.createDataFrame([*rows, (None, [1, 2])], "label boolean, features array<int>"), 80)
+
+    def objective(m, penalty, weight):
+        w, y = m.coefficients.toArray(), np.array([1.0 if label else -1.0 for label, _ in rows])
+        f = np.array([w[np.array(ids) - 1].sum() for _, ids in rows]) + m.intercept
+        assert w[78] == pytest.approx(w[79])
+        return w @ w / 2 + penalty * (np.where(y > 0, weight, 1.0) * np.maximum(0, 1 - y * f)).sum()
+
+    for penalty, weight in ((0.0001, 2.0), (0.01, 4.0), (1.0, 10.0)):
+        mine, theirs = model.fit_sparse(kept, penalty, weight).model, model._fit_over_all(kept, penalty, weight, 60).model
+        assert objective(mine, penalty, weight) <= objective(theirs, penalty, weight) * 1.001
+
+
+def test_fit_takes_few_jobs(spark):
+    """A job for each step and fit, as before, took most of the time."""
+    df = spark.createDataFrame(drawn_rows(200, 60), "label boolean, features array<int>")
+    spark.sparkContext.setJobGroup("one fit", "")
+    m = model.fit(df, 60, 0.01, 4.0)
+    dev = df.selectExpr("monotonically_increasing_id() AS ord", "cast(features[0] % 20 AS string) AS name1", "label", "features")
+    spark.sparkContext.setJobGroup("grid", "")
+    best, point, results = model.search(df, dev, 60, iterations=20)
+    spark.sparkContext.setJobGroup("rest", "")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    assert m.numFeatures == 60 and len(jobs("one fit")) < 15 and len(jobs("grid")) < 60
+    for i in (0, 22, 44):
+        p, w, mrr = results[i]
+        want = evaluate.rank_eval(model.decide(dev, model.fit(df, 60, p, w, 20))).first()["mrr"]
+        assert mrr == pytest.approx(want)
+    assert max(r[2] for r in results) == next(r[2] for r in results if r[:2] == point) and best.model.numFeatures == 60
+
+
+def test_rows_in_any_order_and_none(spark, monkeypatch):
+    rows = [(True, [3, 1, 3, 9]), (False, [2]), (False, []), (True, [1])]
+    df = spark.createDataFrame(rows, "label boolean, features array<int>")
+    m, same = model.fit(df, 3, 1.0, 1.0), model.fit(spark.createDataFrame([(a, sorted({i for i in b if i <= 3})) for a, b in rows], df.schema), 3, 1.0, 1.0)
+    assert m.coefficients.toArray().tolist() == same.coefficients.toArray().tolist() and m.numFeatures == 3
+    assert m.coefficients.toArray() == pytest.approx([4 / 3, -1 / 3, 1 / 3], abs=0.005)  # the minimum, by its dual
+    assert model.fit(df.limit(0), 3).coefficients.toArray().tolist() == [0, 0, 0]
+    monkeypatch.setattr(model.linear, "CELLS", 1)
+    assert model.fit(df, 3, 1.0, 1.0).coefficients.toArray() == pytest.approx(m.coefficients.toArray(), abs=0.2)
