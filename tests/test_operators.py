@@ -413,3 +413,22 @@ def test_rows_in_any_order_and_none(spark, monkeypatch):
     assert model.fit(df.limit(0), 3).coefficients.toArray().tolist() == [0, 0, 0]
     monkeypatch.setattr(model.linear, "CELLS", 1)
     assert model.fit(df, 3, 1.0, 1.0).coefficients.toArray() == pytest.approx(m.coefficients.toArray(), abs=0.2)
+
+
+def test_alignments_solve_few_empty_cells():
+    """Rows of other lengths went into one batch, so much of what was solved lay beyond the ends of the texts."""
+    import numpy as np
+
+    from nameloom.operators import batches
+
+    draw = np.random.default_rng(7)
+    a, b = draw.integers(1, 20, 20_000), draw.integers(1, 20, 20_000)
+    short, long, seen, solved = np.minimum(a, b), np.maximum(a, b), [], 0
+    for some in batches.chunks(a, b, True):
+        seen += some.tolist()
+        solved += 9 * len(some) * int(short[some].max()) * int(long[some].max())
+    assert sorted(seen) == list(range(20_000)) and solved < 1.3 * 9 * int((a * b).sum())
+    texts = [("".join(chr(0x4E00 + int(c)) for c in draw.integers(0, 9, n)), "".join(chr(0x4E00 + int(c)) for c in draw.integers(0, 9, m))) for n, m in zip(a[:300], b[:300])] + [("", ""), ("", "ab"), ("abc", "")]
+    one = [float(batches.align_totals([x], [y])[0]) for x, y in texts]
+    assert batches.align_totals(*map(list, zip(*texts))).tolist() == one
+    assert batches.align_totals(*map(list, zip(*((y, x) for x, y in texts)))) == pytest.approx(one)
