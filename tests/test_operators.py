@@ -404,6 +404,24 @@ def test_fit_takes_few_jobs(spark):
     assert max(r[2] for r in results) == next(r[2] for r in results if r[:2] == point) and best.model.numFeatures == 60
 
 
+def test_points_share_each_pass(spark):
+    """Each point went over all rows by itself, and each gradient over all rows with a loss."""
+    from nameloom.operators import linear
+
+    path = model.TrainingRows.of(spark.createDataFrame(drawn_rows(300, 80), "label boolean, features array<int>"), 80).table.path
+    rows = linear.Rows(path, 80)
+    times_columns, add_rows, passes, read = rows.times_columns, rows.add_rows, [], []
+    rows.times_columns = lambda vectors: passes.append(len(vectors)) or times_columns(vectors)
+    rows.add_rows = lambda to, c: read.append(int((c != 0).sum())) or add_rows(to, c)
+    points = [(0.01, 4.0, 60), (1.0, 10.0, 60)]
+    both = linear.solve(rows, points)
+    assert passes[0] == 2 and len(passes) <= 60 and sum(read) < 300 * len(read) / 4
+    for point, (weights, intercept, objective) in zip(points, both):
+        alone = linear.solve(rows, [point])[0]
+        assert (weights.tolist(), intercept, objective) == (alone[0].tolist(), *alone[1:])
+    linear.Rows.forget(path)
+
+
 def test_rows_in_any_order_and_none(spark, monkeypatch):
     rows = [(True, [3, 1, 3, 9]), (False, [2]), (False, []), (True, [1])]
     df = spark.createDataFrame(rows, "label boolean, features array<int>")
