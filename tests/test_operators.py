@@ -422,6 +422,38 @@ def test_points_share_each_pass(spark):
     linear.Rows.forget(path)
 
 
+def test_search_holds_little_by_column(spark, monkeypatch):
+    """More than 500 million ids went to Spark's classifier, whose vectors fill the driver; a search held 120 bytes a column and point."""
+    import tracemalloc
+
+    import numpy as np
+
+    from nameloom.operators import linear
+
+    draw = np.random.default_rng(2)
+    drawn = [(i % 3 == 0, (np.flatnonzero(draw.random(200_000) < 0.3) + 1).tolist()) for i in range(40)]
+    kept = model.TrainingRows.of(spark.createDataFrame(drawn, "label boolean, features array<int>"), 200_000)
+    rows = linear.Rows(kept.table.path, 200_000)
+    assert len(rows.times) > 190_000
+    tracemalloc.start()
+    linear.solve(rows, [(0.01, 4.0, 30), (1.0, 10.0, 30)])
+    assert tracemalloc.get_traced_memory()[1] < 100 * len(rows.times)
+    tracemalloc.stop()
+    linear.Rows.forget(kept.table.path)
+
+    def over_all(*_):
+        raise AssertionError("the driver fits")
+
+    monkeypatch.setattr(model, "_fit_over_all", over_all)
+    monkeypatch.setattr(model.TrainingRows, "cells", lambda rows: 700_000_000)
+    monkeypatch.setattr(linear, "HELD", 10)
+    small = model.TrainingRows.of(spark.createDataFrame(drawn_rows(100, 80), "label boolean, features array<int>"), 80)
+    weights = model.fit_sparse(small, 0.01, 4.0).model.coefficients.toArray()
+    monkeypatch.setattr(linear, "HELD", 1000)
+    small.done.clear()
+    assert weights.any() and weights.tolist() == model.fit_sparse(small, 0.01, 4.0).model.coefficients.toArray().tolist()
+
+
 def test_rows_in_any_order_and_none(spark, monkeypatch):
     rows = [(True, [3, 1, 3, 9]), (False, [2]), (False, []), (True, [1])]
     df = spark.createDataFrame(rows, "label boolean, features array<int>")
