@@ -422,6 +422,21 @@ def test_points_share_each_pass(spark):
     linear.Rows.forget(path)
 
 
+def test_weights_stay_with_the_executors(spark, tmp_path, monkeypatch):
+    """Training and scoring brought all weights to the driver, and sent them from there."""
+    path, _ = small_tables(spark, tmp_path)
+    want = {r.ord: r.score for r in queries.queries()["svm_train_score"](spark, path).collect()}
+
+    def held(fit):
+        raise AssertionError("the driver holds the weights")
+
+    monkeypatch.setattr(model.Fit, "model", property(held))
+    monkeypatch.setattr(model, "WEIGHTS_LIMIT", 0)
+    monkeypatch.setattr(model.linear, "PART", 2)
+    got = {r.ord: r.score for r in queries.queries()["svm_train_score"](spark, path).collect()}
+    assert got == want and len({*got.values()}) > 1
+
+
 def test_search_holds_little_by_column(spark, monkeypatch):
     """More than 500 million ids went to Spark's classifier, whose vectors fill the driver; a search held 120 bytes a column and point."""
     import tracemalloc
